@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import jaccard, langid
+from evigraph.llm import decontaminate, jaccard, langid
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = langid.part(F.col("doc_id"), 4) == 2
@@ -25,8 +29,34 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_decontaminate": op7_decontaminate,
     "op8_language_id": op8_language_id,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+#: Words with A-Z as a-z.
+WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\x09-\\x0D]+')"
+RUN = "array_to_string(list_slice(w, i, i + {k} - 1), ' ')"
+
+ORACLES: dict[str, str] = {
+    "op7_decontaminate": f"""
+WITH it AS (SELECT DISTINCT item_id, {WORDS} AS w FROM benchmark),
+iw AS (SELECT item_id, w, least(5, len(w)) AS k FROM it WHERE len(w) > 0),
+ish AS (SELECT DISTINCT item_id, k, {RUN.format(k="k")} AS s FROM iw, LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)),
+isz AS (SELECT item_id, count(*) AS n_shingles FROM ish GROUP BY item_id),
+d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+ks AS (SELECT DISTINCT k FROM iw),
+dsh AS (SELECT DISTINCT doc_id, k, {RUN.format(k="k")} AS s FROM d, ks, LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)),
+m AS (SELECT dsh.doc_id, ish.item_id, count(*) AS n_shared FROM dsh JOIN ish ON dsh.k = ish.k AND dsh.s = ish.s GROUP BY ALL)
+SELECT m.doc_id, m.item_id, m.n_shared, isz.n_shingles FROM m JOIN isz USING (item_id) WHERE m.n_shared >= 0.75 * isz.n_shingles""",
+    "op10_ngram_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+dk AS (SELECT doc_id, w, least(5, len(w)) AS k FROM d WHERE len(w) > 0),
+sh AS (SELECT DISTINCT doc_id, {RUN.format(k="k")} AS s FROM dk, LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * common >= 75 * (na.n + nb.n - common)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)
+SELECT x AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(y) AS component_id FROM r LEFT JOIN n ON n.doc_id = x GROUP BY x""",
+}
