@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import decontaminate, jaccard, langid
+from evigraph.llm import decontaminate, jaccard, langid, mixing, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = secrets.fit(spark, secrets.example_findings(secrets.sample_texts(docs)))
+    return secrets.scan(docs, model).drop("row_hash")
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -29,6 +39,8 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_secret_scan": op3_secret_scan,
+    "op4_mix_sources": op4_mix_sources,
     "op7_decontaminate": op7_decontaminate,
     "op8_language_id": op8_language_id,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
@@ -39,6 +51,18 @@ WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTU
 RUN = "array_to_string(list_slice(w, i, i + {k} - 1), ' ')"
 
 ORACLES: dict[str, str] = {
+    "op4_mix_sources": f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+'))::BIGINT AS size, md5('{mixing.SEED}' || coalesce(doc_id::VARCHAR, '')) AS ord FROM documents),
+z AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM d GROUP BY source),
+w AS (SELECT *, (sid - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM z),
+f AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+      FROM w WINDOW o AS (ORDER BY cap / weight, sid)),
+g AS (SELECT *, level <= cap / weight AS free FROM f),
+t AS (SELECT source, source_size, CASE WHEN free THEN weight * (SELECT level FROM g WHERE free ORDER BY cap / weight, sid LIMIT 1) ELSE cap END::DOUBLE AS target FROM g),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS stop,
+      coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (greatest(least(a + size, stop) - a, 0) + greatest(least(a + size, stop - source_size) - a, 0) + greatest(least(a + size, stop - 2 * source_size) - a, 0))::BIGINT AS taken FROM p""",
     "op7_decontaminate": f"""
 WITH it AS (SELECT DISTINCT item_id, {WORDS} AS w FROM benchmark),
 iw AS (SELECT item_id, w, least(5, len(w)) AS k FROM it WHERE len(w) > 0),
