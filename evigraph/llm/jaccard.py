@@ -7,10 +7,14 @@ token among the first ``|x| - ceil(t |x|) + 1`` tokens of x and likewise of y, u
 2. Order 1 puts tokens that many sets of a partition share last, by their counts, the rest by hash. Each class sends its prefix of
    order 1 to the tokens' posting lists, copies within a partition once. Tokens of one class end there. The list of frequent tokens
    is a broadcast of at most ``MAX_FREQUENT`` of them: it changes the order, thus the speed, and never the result.
-3. Rounds: in a posting list each class whose component differs from the list's leader is paired with that leader. Pairs must share
-   prefix tokens in all the other orders too; those that do are verified on their texts. Links join components.
-   A list of copies is so linked by as many pairs as members. The last round pairs all members of different components, so that no
-   link between different components is lost. Components are exact; links within a component are not all listed.
+3. Rounds: in a posting list each class whose component differs from the list's leader is paired with that leader; lists choose
+   among a few leaders. Pairs must pass a bound on their difference and share prefix tokens in all the other orders too; those that
+   do are verified on their texts. Links join components. A list of copies is so linked by a few pairs for each member. The last
+   round pairs all members of different components, so that no link between different components is lost. Components are exact;
+   links within a component are not all listed.
+
+The bound: each class has the parities of its tokens' counts in ``64 * BITS`` places. Two classes differ in at least as many tokens as
+parities, and a link allows ``(1 - t) / (1 + t)`` of the sum of sizes.
 
 Components need only the links that join them, which keeps lists of thousands of near copies linear.
 """
@@ -36,7 +40,10 @@ OTHER_ORDERS = (101, 202)
 MAX_FREQUENT = 1 << 18
 #: A broadcast of ids stays under 8 bytes x this.
 MAX_BROADCAST_IDS = 1 << 20
-STAR_ROUNDS = 2
+#: Leaders of a list in each round before the last.
+LEADERS = (1, 4, 8)
+#: Longs of parities.
+BITS = 16
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
@@ -63,6 +70,12 @@ def fingerprint(tokens: np.ndarray) -> int:
     return int(W.mix(np.array([total], W.U), 9).view(np.int64)[0])
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """BITS signed longs."""
+    counts = np.bincount((W.mix(tokens, 55) % W.U(64 * BITS)).astype(np.int64), minlength=64 * BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def prefix_length(n: int) -> int:
     """n - ceil(t n) + 1."""
     return n + (-NUM * n) // DEN + 1
@@ -75,13 +88,13 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Re
 
 
 def memberships(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, key, n_shingles) for each row; the key is 0 for an empty set."""
+    """(doc_id, key, n_shingles, bits) for each row; the key is 0 for an empty set."""
 
     def run(batches):
         for chunk, sets in _sets(batches, width):
-            yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "key", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "key", "n_shingles", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key long, n_shingles long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key long, n_shingles long, bits array<long>")
 
 
 def frequent_tokens(docs: DataFrame, width: int = WIDTH, flush: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
@@ -125,13 +138,13 @@ def _rank(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.nd
 
 
 def postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int = WIDTH) -> DataFrame:
-    """(token, key, n) for tokens in the order-1 prefixes of two classes at least, each class once in a token's list."""
+    """(token, key) for tokens in the order-1 prefixes of two classes at least, each class once in a token's list."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches):
         seen = set()
         for _, sets in _sets(batches, width):
-            tokens, keys, sizes = [], [], []
+            tokens, keys = [], []
             for s in sets:
                 key = fingerprint(s)
                 if not len(s) or key in seen:
@@ -140,9 +153,8 @@ def postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: in
                 first = s[_rank(s, *shared.value)[: prefix_length(len(s))]]
                 tokens.append(first)
                 keys.append(np.full(len(first), key))
-                sizes.append(np.full(len(first), len(s)))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes).astype(np.int32))], ["token", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys))], ["token", "key"])
 
     def lists(batches):
         # rows come sorted by token and key; the last row of a batch waits until it is known whether its token has another key
@@ -166,27 +178,37 @@ def postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: in
             yield batch.take(pa.array(rows[like_before | like_next]))
             waiting, sent_on = batch.slice(rows[-1], 1), like_before[-1]
 
-    sent = docs.select("text").mapInArrow(emit, "token long, key long, n int").repartition("token").sortWithinPartitions("token", "key")
-    return sent.mapInArrow(lists, "token long, key long, n int")
+    sent = docs.select("text").mapInArrow(emit, "token long, key long").repartition("token").sortWithinPartitions("token", "key")
+    return sent.mapInArrow(lists, "token long, key long")
 
 
-def _pairs(lists: DataFrame, everything: bool, seed: int) -> DataFrame:
-    """Distinct pairs (a < b) of keys in a list whose components differ and whose sizes allow a link.
+def _near(a: str, b: str) -> str:
+    """SQL: the sizes and parities of two classes allow a link."""
+    apart = " + ".join(f"bit_count({a}.b{i} ^ {b}.b{i})" for i in range(BITS))
+    return f"least({a}.n, {b}.n) * {DEN} >= greatest({a}.n, {b}.n) * {NUM} AND ({apart}) * {DEN + NUM} <= ({a}.n + {b}.n) * {DEN - NUM}"
 
-    ``lists`` has token, key, n, comp. Not ``everything``: each key with the list's leader, the key of least hash under ``seed``.
+
+def _led(lists: DataFrame, classes: DataFrame, leaders: int, seed: int) -> DataFrame:
+    """Distinct pairs (a < b) of a key and its list's leader, of other components, that may be linked.
+
+    ``lists`` has token, key, comp. A list's leader is its key of least hash with the seed and one of ``leaders`` values of the token.
     """
-    fits = f"least(a.n, b.n) * {DEN} >= greatest(a.n, b.n) * {NUM} AND a.comp <> b.comp"
-    if everything:
-        parts = lists.select("token", "comp").distinct()
-        two = parts.withColumnRenamed("comp", "ca").join(parts.withColumnRenamed("comp", "cb"), "token").where("ca < cb")
-        left = two.alias("p").join(lists.alias("l"), F.expr("p.token = l.token AND p.ca = l.comp"))
-        a = left.select("p.token", "p.cb", "l.key", "l.n", "l.comp")
-        joined = a.alias("a").join(lists.alias("b"), F.expr("a.token = b.token AND a.cb = b.comp")).where(fits)
-    else:
-        first = F.struct(F.xxhash64(F.col("key"), F.lit(seed)), "key", "n", "comp")
-        leads = lists.groupBy("token").agg(F.min(first).alias("lead"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        b = leads.select("token", "lead.key", "lead.n", "lead.comp")
-        joined = lists.alias("a").join(b.alias("b"), "token").where(f"a.key <> b.key AND {fits}")
+    first = F.struct(F.xxhash64(F.col("key"), F.pmod("token", F.lit(leaders)), F.lit(seed)), "key", "comp")
+    leads = lists.groupBy("token").agg(F.min(first).alias("lead"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    joined = lists.alias("a").join(leads.alias("b"), "token").where("a.comp <> b.lead.comp")
+    pairs = joined.select(F.least("a.key", "b.lead.key").alias("ka"), F.greatest("a.key", "b.lead.key").alias("kb")).distinct()
+    near = pairs.join(classes.alias("a"), F.expr("ka = a.key")).join(classes.alias("b"), F.expr("kb = b.key")).where(_near("a", "b"))
+    return near.select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+
+
+def _all(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of keys of a list, of other components, that may be linked."""
+    mixed = lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
+    rows = materialize(lists.join(mixed, "token", "left_semi").join(classes, "key"), "mixed")
+    parts = rows.select("token", "comp").distinct()
+    two = parts.withColumnRenamed("comp", "ca").join(parts.withColumnRenamed("comp", "cb"), "token").where("ca < cb")
+    left = two.alias("p").join(rows.alias("l"), F.expr("p.token = l.token AND p.ca = l.comp")).select("p.token", "p.cb", "l.key", "l.n", *[f"l.b{i}" for i in range(BITS)])
+    joined = left.alias("a").join(rows.alias("b"), F.expr("a.token = b.token AND a.cb = b.comp AND " + _near("a", "b")))
     return joined.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
 
 
@@ -234,22 +256,22 @@ def components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     member = materialize(memberships(docs, width), "members")
     lists = materialize(postings(docs, frequent_tokens(docs, width), width), "postings")
     keys = lists.select("key").distinct()
-    reps = materialize(member.where("n_shingles > 0 AND doc_id IS NOT NULL").join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "representatives")
+    reps = materialize(member.where("n_shingles > 0 AND doc_id IS NOT NULL").join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")), "representatives")
     # the texts of compared classes; a doc_id that several rows share may bring texts of other classes, which go again
-    small = small_side(reps, MAX_BROADCAST_IDS)
+    small = small_side(reps.select("doc_id", "key"), MAX_BROADCAST_IDS)
+    classes = reps.select("key", "n", *[F.col("bits")[i].alias(f"b{i}") for i in range(BITS)])
     texts = materialize(_keyed(docs.join(small, "doc_id", "left_semi"), width).join(small, ["doc_id", "key"], "left_semi"), "texts")
     found, comp = None, None
-    for k in range(STAR_ROUNDS + 1):
+    for k in range(len(LEADERS) + 1):
         if comp is None:
             labelled = lists.withColumn("comp", F.col("key"))
         else:
-            labelled = lists.join(comp, F.col("key") == F.col("node"), "left").select("token", "key", "n", F.coalesce("component", "key").alias("comp"))
-        pairs = materialize(_pairs(labelled, k == STAR_ROUNDS, k), "pairs")
+            labelled = lists.join(comp, F.col("key") == F.col("node"), "left").select("token", "key", F.coalesce("component", "key").alias("comp"))
+        labelled = labelled.select("token", "key", "comp")
+        pairs = materialize(_led(labelled, classes, LEADERS[k], k) if k < len(LEADERS) else _all(labelled, classes), "pairs")
         new = materialize(links(pairs, texts, width), "links")
         found = new if found is None else found.unionByName(new)
         none = new.isEmpty()
-        if none and k == STAR_ROUNDS:
-            break
         if not none:
             comp = materialize(connected_components(found, "a", "b"), "components")
         drop(pairs)

@@ -93,3 +93,12 @@ def test_edge_rows(spark):
     assert J.components(docs.limit(0)).count() == 0
     alone = spark.createDataFrame([(None, "a b c d e f"), (4, "A b c d e f"), (None, "q r s t u v")], "doc_id long, text string")
     assert sorted(((r.doc_id, r.component_id) for r in J.components(alone).collect()), key=str) == [(4, 4), (None, 4), (None, None)]
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2000, rng.integers(1, 900)).astype(np.uint64))
+        b = np.unique(rng.integers(0, 2000, rng.integers(1, 900)).astype(np.uint64))
+        apart = sum(int(x).bit_count() for x in (J.parities(a) ^ J.parities(b)).view(np.uint64))
+        assert apart <= len(np.setxor1d(a, b))
