@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import decontaminate, jaccard, langid, mixing, secrets
+from evigraph.llm import brown, decontaminate, jaccard, langid, mixing, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_brown_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = brown.part(F.col("doc_id")) == 1
+    model, counts = brown.fit(docs.where(~held_out))
+    return brown.score(docs, model, counts).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = secrets.fit(spark, secrets.example_findings(secrets.sample_texts(docs)))
@@ -39,6 +46,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_brown_score": op1_brown_score,
     "op3_secret_scan": op3_secret_scan,
     "op4_mix_sources": op4_mix_sources,
     "op7_decontaminate": op7_decontaminate,
