@@ -22,6 +22,7 @@ Components need only the links that join them, which keeps lists of thousands of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ MAX_BROADCAST_IDS = 1 << 20
 LEADERS = (1, 4, 8)
 #: Longs of parities.
 BITS = 16
+FOLDED = 4
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
@@ -182,9 +184,9 @@ def postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: in
     return sent.mapInArrow(lists, "token long, key long")
 
 
-def _near(a: str, b: str) -> str:
+def _near(a: str, b: str, name: str = "b", longs: int = BITS) -> str:
     """SQL: the sizes and parities of two classes allow a link."""
-    apart = " + ".join(f"bit_count({a}.b{i} ^ {b}.b{i})" for i in range(BITS))
+    apart = " + ".join(f"bit_count({a}.{name}{i} ^ {b}.{name}{i})" for i in range(longs))
     return f"least({a}.n, {b}.n) * {DEN} >= greatest({a}.n, {b}.n) * {NUM} AND ({apart}) * {DEN + NUM} <= ({a}.n + {b}.n) * {DEN - NUM}"
 
 
@@ -196,20 +198,26 @@ def _led(lists: DataFrame, classes: DataFrame, leaders: int, seed: int) -> DataF
     first = F.struct(F.xxhash64(F.col("key"), F.pmod("token", F.lit(leaders)), F.lit(seed)), "key", "comp")
     leads = lists.groupBy("token").agg(F.min(first).alias("lead"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     joined = lists.alias("a").join(leads.alias("b"), "token").where("a.comp <> b.lead.comp")
-    pairs = joined.select(F.least("a.key", "b.lead.key").alias("ka"), F.greatest("a.key", "b.lead.key").alias("kb")).distinct()
-    near = pairs.join(classes.alias("a"), F.expr("ka = a.key")).join(classes.alias("b"), F.expr("kb = b.key")).where(_near("a", "b"))
-    return near.select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    return _near_pairs(joined.select(F.least("a.key", "b.lead.key").alias("ka"), F.greatest("a.key", "b.lead.key").alias("kb")).distinct(), classes)
 
 
 def _all(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of keys of a list, of other components, that may be linked."""
+    """Distinct pairs (a < b) of keys of a list, of other components, that may be linked. Keys of one component never meet."""
     mixed = lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    rows = materialize(lists.join(mixed, "token", "left_semi").join(classes, "key"), "mixed")
+    # places of the parities put together in FOLDED longs keep the bound; they go with the rows, the others are asked afterwards
+    folded = [f"f{i}" for i in range(FOLDED)]
+    folds = classes.select("key", "n", *[reduce(lambda x, y: x.bitwiseXOR(y), [F.col(f"b{j}") for j in range(i, BITS, FOLDED)]).alias(f) for i, f in enumerate(folded)])
+    rows = materialize(lists.join(mixed, "token", "left_semi").join(folds, "key"), "mixed")
     parts = rows.select("token", "comp").distinct()
     two = parts.withColumnRenamed("comp", "ca").join(parts.withColumnRenamed("comp", "cb"), "token").where("ca < cb")
-    left = two.alias("p").join(rows.alias("l"), F.expr("p.token = l.token AND p.ca = l.comp")).select("p.token", "p.cb", "l.key", "l.n", *[f"l.b{i}" for i in range(BITS)])
-    joined = left.alias("a").join(rows.alias("b"), F.expr("a.token = b.token AND a.cb = b.comp AND " + _near("a", "b")))
-    return joined.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
+    left = two.alias("p").join(rows.alias("l"), F.expr("p.token = l.token AND p.ca = l.comp")).select("p.token", "p.cb", "l.key", "l.n", *[f"l.{f}" for f in folded])
+    joined = left.alias("a").join(rows.alias("b"), F.expr("a.token = b.token AND a.cb = b.comp AND " + _near("a", "b", "f", FOLDED)))
+    return _near_pairs(joined.select(F.least("a.key", "b.key").alias("ka"), F.greatest("a.key", "b.key").alias("kb")).distinct(), classes)
+
+
+def _near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    near = pairs.join(classes.alias("a"), F.expr("ka = a.key")).join(classes.alias("b"), F.expr("kb = b.key")).where(_near("a", "b"))
+    return near.select(F.col("ka").alias("a"), F.col("kb").alias("b"))
 
 
 def links(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
