@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm import words as W
+from evigraph.plans.scratch import materialize, small_side
 
 WIDTH = 5
 THRESHOLD = 0.75
 RECALL = 0.9999
 MAX_ITEMS = 20_000
+MAX_BROADCAST_IDS = 1 << 20
 
 
 def bands(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
@@ -181,5 +183,5 @@ def _find_block(docs: DataFrame, sets: DataFrame, threshold: float, schema: str)
 
 def remove(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` that contain no item; rows without doc_id are searched too, and share their verdict."""
-    found = find(docs, items, threshold).select("doc_id").distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_anti")
+    found = materialize(find(docs, items, threshold).select(F.col("doc_id").alias("found_id")).distinct(), "found")
+    return docs.join(small_side(found, MAX_BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("found_id")), "left_anti")
