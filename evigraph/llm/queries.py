@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import brown, decontaminate, jaccard, langid, mixing, quality, secrets
+from evigraph.llm import brown, decontaminate, jaccard, langid, mixing, quality, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_outliers": op2_quality_outliers,
     "op3_secret_scan": op3_secret_scan,
     "op4_mix_sources": op4_mix_sources,
+    "op6_warc": op6_warc,
     "op7_decontaminate": op7_decontaminate,
     "op8_language_id": op8_language_id,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
@@ -76,6 +81,13 @@ p AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT
       coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (greatest(least(a + size, stop) - a, 0) + greatest(least(a + size, stop - source_size) - a, 0) + greatest(least(a + size, stop - 2 * source_size) - a, 0))::BIGINT AS taken FROM p""",
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f""",
     "op7_decontaminate": f"""
 WITH it AS (SELECT DISTINCT item_id, {WORDS} AS w FROM benchmark),
 iw AS (SELECT item_id, w, least(5, len(w)) AS k FROM it WHERE len(w) > 0),
