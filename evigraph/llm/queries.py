@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import brown, decontaminate, jaccard, langid, mixing, quality, secrets, warc
+from evigraph.llm import brown, chat, decontaminate, jaccard, langid, mixing, quality, secrets, warc
+from evigraph.plans.scratch import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +50,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(materialize(chat.pieces(conversations), "chat"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
@@ -61,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op7_decontaminate": op7_decontaminate,
     "op8_language_id": op8_language_id,
+    "op9_chat_format": op9_chat_format,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
@@ -98,6 +106,17 @@ ks AS (SELECT DISTINCT k FROM iw),
 dsh AS (SELECT DISTINCT doc_id, k, {RUN.format(k="k")} AS s FROM d, ks, LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)),
 m AS (SELECT dsh.doc_id, ish.item_id, count(*) AS n_shared FROM dsh JOIN ish ON dsh.k = ish.k AND dsh.s = ish.s GROUP BY ALL)
 SELECT m.doc_id, m.item_id, m.n_shared, isz.n_shingles FROM m JOIN isz USING (item_id) WHERE m.n_shared >= 0.75 * isz.n_shingles""",
+    "op9_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, sha256(text) AS o,
+  len(regexp_replace(regexp_replace(text, '(\\*)(</?s>|\[/?INST\]|<\|role\|>|<\|text\|>)', '\1\1\\\2', 'g'), '(\\+)$', '\1\1')) AS n,
+  len(regexp_replace(regexp_replace(role, '(\\*)(</?s>|\[/?INST\]|<\|role\|>|<\|text\|>)', '\1\1\\\2', 'g'), '(\\+)$', '\1\1')) AS r FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, o)) AS turns_sha256,
+  coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, o) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(CASE role WHEN 'user' THEN n + 13 WHEN 'assistant' THEN n + 4 ELSE r + n + 20 END))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""",
     "op10_ngram_jaccard_join": f"""
 WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 dk AS (SELECT doc_id, w, least(5, len(w)) AS k FROM d WHERE len(w) > 0),
