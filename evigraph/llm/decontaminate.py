@@ -108,12 +108,12 @@ def _search(shingles: np.ndarray, before: np.ndarray, items: Items, multipliers:
     return found
 
 
-def item_sets(items: DataFrame) -> DataFrame:
+def item_sets(items: DataFrame, plain: bool = False) -> DataFrame:
     """(item_id, width, tokens) of each item with a word; tokens are the bytes of its sorted 64-bit shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, starts = W.hashed(batch.column(1), fold=True)
+            h, starts = W.hashed(batch.column(1), fold=True, plain=plain)
             sizes = np.diff(starts)
             tokens = [np.unique(W.windows(h[starts[i] : starts[i + 1]], np.array([0, n]), min(WIDTH, n))[0]).tobytes() if n else None for i, n in enumerate(sizes)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.minimum(sizes, WIDTH).astype(np.int32)), pa.array(tokens, pa.binary())], ["item_id", "width", "tokens"])
@@ -121,18 +121,19 @@ def item_sets(items: DataFrame) -> DataFrame:
     return items.select("item_id", "text").distinct().mapInArrow(run, f"item_id {items.schema['item_id'].dataType.simpleString()}, width int, tokens binary").where("width > 0")
 
 
-def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, plain: bool = False) -> DataFrame:
     """(doc_id, item_id, n_shared, n_shingles): one row for each row of ``docs`` (doc_id, text) and each item (item_id, text) in it.
 
     Items without a word are in no document; equal rows of ``items`` are one; an id may have several texts, each with a row. Null or
     empty documents hold nothing. Documents with equal ids are searched each for itself. Extra columns are not read.
+    ``plain`` ignores ASCII punctuation.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    sets = item_sets(items)
+    sets = item_sets(items, plain)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, n_shared long, n_shingles long"
     blocks = max(1, -(-sets.count() // MAX_ITEMS))
-    parts = [_find_block(docs, sets.where(F.pmod(F.xxhash64("item_id", "tokens"), F.lit(blocks)) == k), threshold, schema) for k in range(blocks)]
+    parts = [_find_block(docs, sets.where(F.pmod(F.xxhash64("item_id", "tokens"), F.lit(blocks)) == k), threshold, schema, plain) for k in range(blocks)]
     parts = [p for p in parts if p is not None]
     if not parts:
         return spark.createDataFrame([], schema)
@@ -142,7 +143,7 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Dat
     return out
 
 
-def _find_block(docs: DataFrame, sets: DataFrame, threshold: float, schema: str) -> DataFrame | None:
+def _find_block(docs: DataFrame, sets: DataFrame, threshold: float, schema: str, plain: bool) -> DataFrame | None:
     rows = sets.collect()
     if not rows:
         return None
@@ -160,7 +161,7 @@ def _find_block(docs: DataFrame, sets: DataFrame, threshold: float, schema: str)
             own.index(multipliers)
         for batch in batches:
             for chunk in W.chunks(batch):
-                h, starts = W.hashed(chunk.column(1), fold=True)
+                h, starts = W.hashed(chunk.column(1), fold=True, plain=plain)
                 hits = []
                 for width, own in by_width.items():
                     shingles, before = W.windows(h, starts, width)

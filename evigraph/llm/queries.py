@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import brown, chat, decontaminate, jaccard, langid, mixing, quality, secrets, warc
+from evigraph.llm import brown, chat, decontaminate, jaccard, langid, licenses, mixing, quality, secrets, warc
 from evigraph.plans.scratch import materialize
 
 
@@ -36,6 +36,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.templates(spark))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_outliers": op2_quality_outliers,
     "op3_secret_scan": op3_secret_scan,
     "op4_mix_sources": op4_mix_sources,
+    "op5_license_scan": op5_license_scan,
     "op6_warc": op6_warc,
     "op7_decontaminate": op7_decontaminate,
     "op8_language_id": op8_language_id,
@@ -76,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\x09-\\x0D]+')"
 RUN = "array_to_string(list_slice(w, i, i + {k} - 1), ' ')"
 
+PLAIN = WORDS.replace("[^ \\x09-\\x0D]+", "[^\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+")
+_VALUES = ", ".join("('{}', '{}')".format(f"{a}/{b}", c.replace("'", "''")) for a, b, c in licenses.TEMPLATES)
+
 ORACLES: dict[str, str] = {
     "op4_mix_sources": f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+'))::BIGINT AS size, md5('{mixing.SEED}' || coalesce(doc_id::VARCHAR, '')) AS ord FROM documents),
@@ -89,6 +97,15 @@ p AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT
       coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (greatest(least(a + size, stop) - a, 0) + greatest(least(a + size, stop - source_size) - a, 0) + greatest(least(a + size, stop - 2 * source_size) - a, 0))::BIGINT AS taken FROM p""",
+    "op5_license_scan": f"""
+WITH t(template, text) AS (VALUES {_VALUES}),
+tw AS (SELECT template, {PLAIN} AS w FROM t),
+ts AS (SELECT DISTINCT template, {RUN.format(k=5)} AS s FROM tw, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i)),
+tn AS (SELECT template, count(*) AS n_shingles FROM ts GROUP BY template),
+d AS (SELECT doc_id, {PLAIN} AS w FROM documents),
+ds AS (SELECT DISTINCT doc_id, {RUN.format(k=5)} AS s FROM d, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i)),
+m AS (SELECT doc_id, template, count(*) AS n_shared FROM ds JOIN ts USING (s) GROUP BY ALL)
+SELECT doc_id, split_part(template, '/', 1) AS license, template, n_shared, n_shingles FROM m JOIN tn USING (template) WHERE n_shared >= 0.75 * n_shingles""",
     "op6_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),

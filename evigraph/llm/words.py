@@ -25,6 +25,11 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: ASCII letters and digits (A-Z as a-z) and all bytes above stay, everything else separates.
+PLAIN = np.full(256, 32, np.uint8)
+PLAIN[48:58], PLAIN[97:123], PLAIN[128:] = np.arange(48, 58), np.arange(97, 123), np.arange(128, 256)
+PLAIN[65:91] = PLAIN[97:123]
+
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -91,9 +96,13 @@ def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, fold: bo
     return mix((sums[ends] - sums[begins]) * down[begins])
 
 
-def hashed(texts: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts in order, and the number of words before each text (and in all, last)."""
+def hashed(texts: pa.Array, fold: bool = False, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts in order, and the number of words before each text (and in all, last).
+
+    ``plain`` takes only letters and digits (and all that is not ASCII) as parts of words.
+    """
     data, offsets = string_bytes(texts)
+    data = PLAIN[data] if plain else data
     begins, ends, starts = word_spans(data, offsets)
     return word_hashes(data, begins, ends, fold), starts
 
