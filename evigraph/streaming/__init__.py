@@ -1 +1 @@
-
+"""Incremental forms of the batch operators."""
