@@ -38,7 +38,7 @@ WIDTH = 5
 NUM, DEN = 75, 100
 #: Orders besides the first, each a seed of the mixing function.
 OTHER_ORDERS = (101, 202)
-MAX_FREQUENT = 1 << 18
+MAX_FREQUENT = 1 << 20
 #: A broadcast of ids stays under 8 bytes x this.
 MAX_BROADCAST_IDS = 1 << 20
 #: Leaders of a list in each round before the last.
@@ -46,6 +46,8 @@ LEADERS = (1, 4, 8)
 #: Longs of parities.
 BITS = 16
 FOLDED = 4
+#: Longs of parities that pairs which pass the others are asked for; of use up to about 7000 shingles.
+WIDE = 64
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
@@ -72,9 +74,9 @@ def fingerprint(tokens: np.ndarray) -> int:
     return int(W.mix(np.array([total], W.U), 9).view(np.int64)[0])
 
 
-def parities(tokens: np.ndarray) -> np.ndarray:
-    """BITS signed longs."""
-    counts = np.bincount((W.mix(tokens, 55) % W.U(64 * BITS)).astype(np.int64), minlength=64 * BITS)
+def parities(tokens: np.ndarray, longs: int = BITS) -> np.ndarray:
+    """``longs`` signed longs."""
+    counts = np.bincount((W.mix(tokens, 55) % W.U(64 * longs)).astype(np.int64), minlength=64 * longs)
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
@@ -221,7 +223,7 @@ def _near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def links(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose texts (key, text) share prefix tokens under each other order and reach the threshold."""
+    """Those (a, b) of ``pairs`` whose texts (key, n, wide, text) share prefix tokens under each other order and reach the threshold."""
 
     def run(batches):
         last = (None, None)
@@ -235,7 +237,10 @@ def links(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
                     keep.append(_linked(last[1], b))
                 yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    with_b = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    own = lambda s: texts.select(F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("wide").alias(f"wide{s}"))
+    apart = F.aggregate(F.zip_with("widea", "wideb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    near = pairs.join(own("b"), "b").join(own("a"), "a").where(apart * (DEN + NUM) <= (F.col("na") + F.col("nb")) * (DEN - NUM)).select("a", "b")
+    with_b = near.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
@@ -296,6 +301,6 @@ def components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def _keyed(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for chunk, sets in _sets(batches, width):
-            yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array([fingerprint(s) for s in sets], pa.int64()), chunk.column(1)], ["doc_id", "key", "text"])
+            yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s, WIDE) for s in sets], pa.list_(pa.int64())), chunk.column(1)], ["doc_id", "key", "n", "wide", "text"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, text string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, n long, wide array<long>, text string")
