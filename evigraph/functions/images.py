@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 # fixed values: the quality gate
@@ -151,23 +152,23 @@ def ransac(a: np.ndarray, b: np.ndarray, size_a: tuple[int, int], size_b: tuple[
     return int(best.sum()), float(best.mean()), cover
 
 
-@pandas_udf("struct<status:string,reason:string,near_black:double>")
+@pandas_udf(T.StructType([T.StructField("status", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("near_black", T.DoubleType())]))
 def quality_udf(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([quality(grey(d, h, w)) if d is not None and h > 0 else ("UNVERIFIABLE", "image_decode_failed", None) for d, h, w in zip(data, height, width)], columns=["status", "reason", "near_black"])
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def blur_variance_udf(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
     return pd.Series([blur_variance(grey(d, h, w)) if d is not None and h > 0 else None for d, h, w in zip(data, height, width)], dtype=float)
 
 
-@pandas_udf("map<string,string>")
+@pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def rotation_hashes_udf(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
     """Hashes after turns of 0, 90, 180 and 270 degrees clockwise."""
     return pd.Series([{str(90 * k): dct_hash(np.rot90(grey(d, h, w), -k)) for k in range(4)} if d is not None and h > 0 else None for d, h, w in zip(data, height, width)])
 
 
-@pandas_udf("struct<inliers:int,ratio:double,coverage:double>")
+@pandas_udf(T.StructType([T.StructField("inliers", T.IntegerType()), T.StructField("ratio", T.DoubleType()), T.StructField("coverage", T.DoubleType())]))
 def homography_udf(a: pd.Series, b: pd.Series, size_a: pd.Series, size_b: pd.Series) -> pd.DataFrame:
     """Of matched points (flat x, y arrays) and image sizes (width, height)."""
     pts = lambda x: np.asarray(x, float).reshape(-1, 2)
