@@ -38,7 +38,7 @@ WIDTH = 5
 NUM, DEN = 75, 100
 #: Orders besides the first, each a seed of the mixing function.
 OTHER_ORDERS = (101, 202)
-MAX_FREQUENT = 1 << 20
+MAX_FREQUENT = 1 << 18
 #: A broadcast of ids stays under 8 bytes x this.
 MAX_BROADCAST_IDS = 1 << 20
 #: Leaders of a list in each round before the last.
@@ -101,7 +101,7 @@ def memberships(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key long, n_shingles long, bits array<long>")
 
 
-def frequent_tokens(docs: DataFrame, width: int = WIDTH, flush: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+def frequent_tokens(docs: DataFrame, width: int = WIDTH, flush: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
     """Tokens that recur among different sets of a partition, with their counts summed over partitions; the most frequent ones."""
 
     def run(batches):
