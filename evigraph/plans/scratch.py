@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,3 +50,10 @@ def small_side(df: DataFrame, most_rows: int, rows: int | None = None) -> DataFr
     """Mark a materialized side for broadcast if it has ``most_rows`` at most; else it stays as it is and Spark joins by shuffle."""
     n = df.count() if rows is None else rows
     return F.broadcast(df) if n <= most_rows else df
+
+
+def release(spark: SparkSession) -> None:
+    """Have the driver collect garbage between the rounds of a loop: Spark deletes the shuffle files of queries that nothing refers to
+    any more, which else stay until the driver's heap happens to fill up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
