@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from evigraph.llm import words as W
 from evigraph.operators.components import connected_components
-from evigraph.plans.scratch import drop, materialize, small_side
+from evigraph.plans.scratch import drop, materialize, release, small_side
 
 WIDTH = 5
 #: The threshold as a fraction: link when DEN * intersection >= NUM * union.
@@ -274,6 +274,7 @@ def components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     small = small_side(reps.select("doc_id", "key"), MAX_BROADCAST_IDS)
     classes = reps.select("key", "n", *[F.col("bits")[i].alias(f"b{i}") for i in range(BITS)])
     texts = materialize(_keyed(docs.join(small, "doc_id", "left_semi"), width).join(small, ["doc_id", "key"], "left_semi"), "texts")
+    release(docs.sparkSession)
     found, comp = None, None
     for k in range(len(LEADERS) + 1):
         if comp is None:
@@ -288,6 +289,7 @@ def components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         if not none:
             comp = materialize(connected_components(found, "a", "b"), "components")
         drop(pairs)
+        release(docs.sparkSession)
     if comp is None:
         named = member.withColumn("component", F.col("key"))
     else:
