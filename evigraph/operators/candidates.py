@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,9 @@ from evigraph.plans.scratch import materialize
 
 #: Vectors of the index that go to the tasks at once, a block; 32 768 of 512 floats are 64 MB.
 BLOCK_VECTORS = 32_768
+BLOCK_PRINTS = 65_536
+#: Bits of a 16-bit part up to which its neighbours are listed: 137 of 65 536 values.
+INDEXED = 2
 
 
 def exact_duplicates(items: DataFrame, key: str = "id", digest: str = "sha256") -> DataFrame:
@@ -81,21 +85,61 @@ def _masks(width: int, most: int) -> list[int]:
 
 
 def hamming_pairs(prints: DataFrame, radius: int, key: str = "vec_id", rotations: bool = True) -> DataFrame:
-    """(a, b, distance, angle_a, angle_b), a < b, within ``radius`` under the best rotations: least distance, then angles.
+    """(a, b, distance, angle_a, angle_b), a < b, within ``radius`` under the best rotations: least distance, then angles. Exact.
 
-    Multi-index hashing: of the four 16-bit parts of two fingerprints one differs in radius // 4 bits at most. One side brings the
-    values within that many bits of each part, the other the part itself, and an equal part is a candidate. Exact. Parts whose
-    values crowd (flat images) make long joins; those of nothing but zeros or ones should be filtered before.
+    Of the four 16-bit parts of two fingerprints one differs in radius // 4 bits at most. Up to INDEXED bits that is rare, and an
+    equi-join over parts finds the candidates; beyond, a part's neighbourhood holds a large share of all values, and comparing
+    with all fingerprints, in blocks, costs less than any index over it.
+    """
+    own = prints.select(F.col(key).alias("key"), "angle", "hi", "lo")
+    own = own if rotations else own.where("angle = 0")
+    hits = _indexed_hits(own, radius) if radius // 4 <= INDEXED else _block_hits(own, radius)
+    best = hits.groupBy("a", "b").agg(F.min(F.struct("distance", "angle_a", "angle_b")).alias("m"))
+    return best.select("a", "b", "m.*")
+
+
+def _indexed_hits(own: DataFrame, radius: int) -> DataFrame:
+    """Multi-index hashing: one side brings the values within radius // 4 bits of each part, the other the part itself.
+
+    Parts whose values crowd (flat images) make long joins; those of nothing but zeros or ones should be filtered before.
     """
     parts = F.array(F.shiftright("hi", 16), F.col("hi").bitwiseAND(F.lit(65535)), F.shiftright("lo", 16), F.col("lo").bitwiseAND(F.lit(65535)))
-    own = prints.select(F.col(key).alias("key"), "angle", "hi", "lo", F.posexplode(parts).alias("part", "value"))
+    own = own.select("*", F.posexplode(parts).alias("part", "value"))
     masks = F.array(*[F.lit(m) for m in _masks(16, radius // 4)])
     near = own.withColumn("mask", F.explode(masks)).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
-    sides = (near if rotations else near.where("angle = 0")).alias("x").join((own if rotations else own.where("angle = 0")).alias("y"), F.expr("x.part = y.part AND x.value = y.value AND x.key < y.key"))
+    sides = near.alias("x").join(own.alias("y"), F.expr("x.part = y.part AND x.value = y.value AND x.key < y.key"))
     d = hamming(F.col("x.hi"), F.col("x.lo"), F.col("y.hi"), F.col("y.lo"))
-    hits = sides.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), d.alias("distance"), F.col("x.angle").alias("angle_a"), F.col("y.angle").alias("angle_b")).where(F.col("distance") <= radius)
-    best = hits.groupBy("a", "b").agg(F.min(F.struct("distance", "angle_a", "angle_b")).alias("m"))
-    return best.select("a", "b", "m.*")
+    return sides.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), d.alias("distance"), F.col("x.angle").alias("angle_a"), F.col("y.angle").alias("angle_b")).where(F.col("distance") <= radius)
+
+
+def _block_hits(own: DataFrame, radius: int) -> DataFrame:
+    """Blocks of BLOCK_PRINTS fingerprints are broadcast, and every batch is compared with them."""
+    spark, key_type = own.sparkSession, own.schema["key"].dataType.simpleString()
+    schema = f"a {key_type}, b {key_type}, distance int, angle_a int, angle_b int"
+    own = materialize(own, "prints")
+    blocks = max(1, -(-own.count() // BLOCK_PRINTS))
+    bits = lambda t: (t.column("hi").to_numpy(zero_copy_only=False).astype(np.uint64) << np.uint64(32)) | t.column("lo").to_numpy(zero_copy_only=False).astype(np.uint64)
+    out = spark.createDataFrame([], schema)
+    for k in range(blocks):
+        block = own.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == k).toArrow().combine_chunks()
+        if not block.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast(block.to_batches()[0])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            right = shared.value
+            values = bits(right)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    distance = np.bitwise_count(bits(part)[:, None] ^ values[None])
+                    i, j = np.nonzero(distance <= radius)
+                    left, other = part.take(pa.array(i)), right.take(pa.array(j))
+                    rows = pa.RecordBatch.from_arrays([left.column("key"), other.column("key"), pa.array(distance[i, j].astype(np.int32)), left.column("angle"), other.column("angle")], ["a", "b", "distance", "angle_a", "angle_b"])
+                    yield rows.filter(pa.compute.less(rows.column("a"), rows.column("b")))
+
+        out = out.unionByName(own.mapInArrow(run, schema))
+    return out
 
 
 def union_sources(*legs: tuple[str, int, DataFrame]) -> DataFrame:

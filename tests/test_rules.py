@@ -139,6 +139,28 @@ def test_hamming_join_is_exact(spark):
     assert C.hamming_pairs(fp.where("vec_id = 'd' OR vec_id = 'a'"), 10).count() == 0
 
 
+def test_hamming_index_and_blocks_agree(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    flip = lambda x: x ^ sum(1 << p for p in rng.sample(range(64), rng.randrange(12)))
+    values = [(i, flip(base[i % 30])) for i in range(120)]
+    fp = spark.createDataFrame([(i, a, (v << a) >> 32 & 0xFFFFFFFF, v & 0xFFFFFFFF) for i, v in values for a in (0, 90)], "vec_id long, angle int, hi long, lo long")
+    rows = fp.collect()
+    brute = {}
+    for x in rows:
+        for y in rows:
+            d = (x.hi ^ y.hi).bit_count() + (x.lo ^ y.lo).bit_count()
+            if x.vec_id < y.vec_id and d <= 10:
+                brute[x.vec_id, y.vec_id] = min(brute.get((x.vec_id, y.vec_id), (99,)), (d, x.angle, y.angle))
+    got = lambda: {(r.a, r.b): (r.distance, r.angle_a, r.angle_b) for r in C.hamming_pairs(fp, 10).collect()}
+    assert got() == brute and brute
+    monkeypatch.setattr(C, "INDEXED", 0)
+    monkeypatch.setattr(C, "BLOCK_PRINTS", 70)
+    assert got() == brute
+
+
 def test_topk_in_blocks(spark, monkeypatch):
     import numpy as np
 
