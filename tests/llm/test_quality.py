@@ -98,6 +98,18 @@ def test_junk_goes_and_clean_texts_stay(spark):
     assert Q.judge(out.sparkSession.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
 
 
+def test_duplicate_lines_or_repeats_alone_reject(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.choice((3, 5, 8)))) for _ in range(n))
+    rows = [(i, "\n".join(words(10) for _ in range(rng.randrange(8, 40))), "en", "s") for i in range(150)]
+    run = words(15)
+    rows += [(1000, "\n".join(f"{words(9)}\nnext\nnext" for _ in range(20)), "en", "s"), (1001, " ".join([run, *[words(9) + " " + run for _ in range(5)], words(45)]), "en", "s"), (1002, words(20) + " a b c " + words(50) + " a b c", "en", "s")]
+    got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[1000].n_dup_lines == 39 and got[1000].n_repeat_words == 0 and got[1001].n_dup_lines == 0 and got[1001].n_repeat_words == 90
+    assert not any(got[i].base_failed or got[i].kept for i in (1000, 1001))
+    assert got[1002].kept and sum(not got[i].kept for i in range(150)) <= 1
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = Q.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
