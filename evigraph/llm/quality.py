@@ -5,7 +5,7 @@ compared with its language and source: a minimum-covariance-determinant estimate
 determinant wins) gives centre and scatter of the closest three quarters, and a vector whose squared Mahalanobis distance is beyond
 the chi-square cut is rejected. Scatter has a floor for each statistic, about the noise of one event in a short text, so that where a
 statistic is constant a single symbol or repetition rejects nothing, but each statistic can cross the cut by itself. Groups of fewer
-than ``LEAST_GROUP`` texts reject nothing.
+than ``LEAST_GROUP`` texts are compared with their language over all sources, or with all texts if the language has fewer too.
 
 A concentration step is one grouped aggregate: moments by group and bin of the distance. The least bins that hold three quarters of
 the group give the next estimate, so no group is sorted or gathered, however large. Statistics are whole thousandths, whose sums are
@@ -108,6 +108,20 @@ def _group() -> Column:
     return F.xxhash64(F.col("lang").isNull(), "lang", F.col("source").isNull(), "source")
 
 
+def _compared(base: DataFrame) -> DataFrame:
+    """(g, c, parts) of each group of ``base`` (g, gl): the group c that its texts are compared with, and all groups they count in.
+
+    c is the first of the group, its language and the whole table that has LEAST_GROUP rows; the whole table if none has.
+    """
+    groups = materialize(base.groupBy("g", "gl").agg(F.count("*").alias("n")), "groups")
+    langs = groups.groupBy("gl").agg(F.sum("n").alias("nl"), F.min("n").alias("least"))
+    few = langs.agg(F.min(F.when(F.col("least") < LEAST_GROUP, F.col("nl"))).alias("fewest"))
+    own, lang, every = F.col("n") >= LEAST_GROUP, F.col("nl") >= LEAST_GROUP, F.xxhash64(F.lit("every"))
+    parts = F.array(F.when(own, F.col("g")), F.when(lang & (F.col("least") < LEAST_GROUP), F.col("gl")), F.when(F.col("fewest") < LEAST_GROUP, every))
+    out = groups.join(langs, "gl").crossJoin(F.broadcast(few))
+    return materialize(out.select("g", F.when(own, F.col("g")).when(lang, F.col("gl")).otherwise(every).alias("c"), F.filter(parts, lambda x: x.isNotNull()).alias("parts")), "compared")
+
+
 def _moments(rows: DataFrame, *keys: str) -> DataFrame:
     sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(D)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(D) for j in range(i + 1)]
     return rows.groupBy(*keys).agg(F.count("*").alias("m"), *sums)
@@ -152,9 +166,9 @@ def _starts(rows: DataFrame) -> DataFrame:
     return one.unionByName(two)
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """(g, m*, l**, logdet) of each group of ``rows`` (g, x*) with LEAST_GROUP rows at least."""
-    sizes = materialize(rows.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") >= LEAST_GROUP), "sizes")
+def estimates(rows: DataFrame, least: int = LEAST_GROUP) -> DataFrame:
+    """(g, m*, l**, logdet) of each group of ``rows`` (g, x*) with ``least`` rows at least."""
+    sizes = materialize(rows.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") >= least), "sizes")
     large = rows.join(small_side(sizes, MAX_GROUPS), "g")
     now = materialize(_starts(large), "starts")
     for _ in range(STEPS):
@@ -173,15 +187,18 @@ def estimates(rows: DataFrame) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """Counts of each row of ``docs`` (doc_id, text, lang, source) with base_failed, kept and distance (squared; null if not taken).
 
-    Null languages and sources are groups of their own. A row is kept if the base rules pass and its distance is within the cut or
-    its group is too small to judge. Rows are judged each for itself, repeated ones alike; extra columns are not carried.
+    Null languages and sources are groups of their own. A row is kept if the base rules pass and its distance is within the cut;
+    every row that passes the base rules has one. Rows are judged each for itself, repeated ones alike; extra columns are not carried.
     """
     rows = counts(docs.select("doc_id", "lang", "source", "text")).withColumn("base_failed", base_failed())
-    rows = materialize(rows.select("*", _group().alias("g"), *statistics()), "counts")
-    found = estimates(rows.where(~F.col("base_failed")))
+    rows = materialize(rows.select("*", _group().alias("g"), F.xxhash64(F.lit("lang"), F.col("lang").isNull(), "lang").alias("gl"), *statistics()), "counts")
+    base = rows.where(~F.col("base_failed"))
+    compared = small_side(_compared(base), MAX_GROUPS)
+    found = estimates(base.join(compared, "g").select(F.explode("parts").alias("g"), *[f"x{i}" for i in range(D)]), 1)
     shrink = chi_square_cdf(chi_square_quantile(CORE, D), D + 2) / CORE
     cut = chi_square_quantile(CUT, D) / shrink
-    judged = _distance(rows.join(small_side(found, MAX_GROUPS), "g", "left"))
+    measures = materialize(compared.select(F.col("g").alias("group"), F.col("c").alias("g")).join(found, "g").drop("g").withColumnRenamed("group", "g"), "measures")
+    judged = _distance(rows.join(small_side(measures, MAX_GROUPS), "g", "left"))
     distance = F.when(~F.col("base_failed"), F.col("d2") * shrink)
-    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cut, F.lit(True))
+    kept = ~F.col("base_failed") & (F.col("d2") <= cut)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), distance.alias("distance"))

@@ -110,6 +110,20 @@ def test_duplicate_lines_or_repeats_alone_reject(spark):
     assert got[1002].kept and sum(not got[i].kept for i in range(150)) <= 1
 
 
+def test_small_groups_are_judged_by_their_language_or_all_texts(spark):
+    rng = random.Random(9)
+    words = lambda n, mark="": " ".join("".join(rng.choices("abcdefghij", k=rng.choice((3, 5, 8)))) + mark for _ in range(n))
+    rows = [(i, words(rng.randrange(60, 900)), "en", f"s{i % 5}") for i in range(150)] + [(200 + i, words(200), "de", "large") for i in range(70)]
+    rows += [(1000, words(200, "###"), "en", "s1"), (1001, words(200, "###"), "xx", None), (1002, words(200), "xx", None), (1003, words(200, "$$"), None, "s")]
+    schema = "doc_id long, text string, lang string, source string"
+    got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows, schema)).collect()}
+    assert all(r.distance is not None and not r.base_failed for r in got.values()) and len(got) == len(rows)
+    assert not any(got[i].kept for i in (1000, 1001, 1003)) and got[1002].kept
+    assert sum(not got[r[0]].kept for r in rows[:220]) <= 1
+    alone = Q.judge(spark.createDataFrame(rows[:1], schema)).first()
+    assert alone.kept and alone.distance == 0
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = Q.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
