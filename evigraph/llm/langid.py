@@ -6,8 +6,9 @@ finite map and one-versus-rest kernel ridge regression fits a column of weights
 one matrix product of its presence rows with ``landmarks.T @ weights``, which is the product with the kernel block taken in the
 other order.
 
-Memory of a task: a block of ``BLOCK`` presence rows and the weights, ``BUCKETS`` floats for each row or language. The fit sees at
-most ``max_train`` labelled texts, the only bounded sample here; all documents are scored over their whole text.
+Memory of a task: a block of ``BLOCK`` presence rows and the weights, ``BUCKETS`` floats for each row or language. The fit sees about
+``max_train`` labelled texts, or ``LEAST_TEXTS`` of each language where those are more; all languages are learned, and all documents are
+scored over their whole text.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from evigraph.llm import words as W
 MAX_N = 4
 BUCKETS = 1 << 16
 BLOCK = 64
+LEAST_TEXTS = 4
 UNDETERMINED = "und"
 
 
@@ -72,17 +74,24 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, max_train: int = 2400, landmarks: int = 256, ridge: float = 1e-2) -> LanguageModel:
     """A model from the rows of ``docs`` (text, lang, doc_id) whose text and lang are not null.
 
-    At most about ``max_train`` rows are used, equally many of each language, chosen by a hash of doc_id and lang; ``landmarks``
-    of them are the Nyström landmarks. No usable row gives a model without languages.
+    About ``max_train`` rows are used, or ``LEAST_TEXTS`` times the number of languages if that is more: about equally many of each
+    language as far as it has them, chosen by a hash of doc_id and lang, and one at least. ``landmarks`` of them, or one of each
+    language if that is more, are the Nyström landmarks. No usable row gives a model without languages.
     """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.xxhash64("doc_id", "lang").alias("h"), "text")
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_train // 4).collect()}
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    langs, each = sorted(counts), max(4, max_train // len(counts))
-    share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, each / counts[k]))])
-    chosen = known.where(F.pmod("h", F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
-    rows = sorted(map(tuple, chosen.mapInArrow(_packed, "lang string, h long, bits binary").collect()), key=lambda r: (r[1], r[0], bytes(r[2])))
+    langs, each = sorted(counts), max(LEAST_TEXTS, max_train // len(counts))
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, each / counts[k])) for k in langs], "lang string, share double")
+    chosen = known.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "h", "text")
+    packed = lambda df: list(map(tuple, df.mapInArrow(_packed, "lang string, h long, bits binary").collect()))
+    rows = packed(chosen)
+    missed = sorted(set(langs) - {r[0] for r in rows})
+    if missed:
+        left = docs.sparkSession.createDataFrame([(k,) for k in missed], "lang string")
+        rows += packed(known.join(F.broadcast(left), "lang").groupBy("lang").agg(F.min(F.struct("h", "text")).alias("m")).select("lang", "m.h", "m.text"))
+    rows.sort(key=lambda r: (r[1], r[0], bytes(r[2])))
     if not rows:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     unpack = lambda part: np.unpackbits(np.frombuffer(b"".join(r[2] for r in part), np.uint8).reshape(len(part), -1), axis=1).astype(np.float32)
@@ -91,7 +100,7 @@ def fit(docs: DataFrame, max_train: int = 2400, landmarks: int = 256, ridge: flo
     for i, r in enumerate(rows):
         turn[r[0]] = turn.get(r[0], 0) + 1
         places.append((turn[r[0]], i))
-    marks = unpack([rows[i] for _, i in sorted(places)[:landmarks]])
+    marks = unpack([rows[i] for _, i in sorted(places)[: max(landmarks, len(langs))]])
     marks /= np.sqrt(np.maximum(marks.sum(1, keepdims=True), 1))
     kernel = np.concatenate([(p @ marks.T) / np.sqrt(np.maximum(p.sum(1, keepdims=True), 1)) for at in range(0, len(rows), 256) for p in [unpack(rows[at : at + 256])]]).astype(float)
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))

@@ -52,3 +52,13 @@ def test_edge_rows(spark):
     assert langid.identify(empty, F.lit(False)).count() == 0
     nothing_learned = langid.identify(docs.where("score = 'y'"), F.lit(True)).collect()
     assert {(r.lang_pred, r.score) for r in nothing_learned} == {("und", 0.0)}
+
+
+def test_every_language_is_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèçñ"
+    name = lambda k: f"l{k:02}"
+    rows = [(100 * k + i, f"{letters[k] * (3 + i)} {letters[k]}", name(k)) for k in range(34) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, max_train=40, landmarks=10)
+    assert model.langs == [name(k) for k in range(34)]
+    assert all(r.lang == r.lang_pred for r in langid.predict(docs, model).collect())
