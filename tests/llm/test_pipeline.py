@@ -51,3 +51,13 @@ def test_stages_take_nulls_repeats_and_empty_tables(spark, sf_dir):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         assert docs.count() == (2 if data else 0)
         assert P.mix_sources(spark, docs, sf_dir).count() == (2 if data else 0)
+
+
+def test_near_copies_go_row_by_row(spark, sf_dir):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    data = [(5, text(0)), (None, text(0) + " end"), (None, text(1)), (None, text(1) + " end"), (None, text(2)), (7, text(3)), (7, text(0) + " more"), (8, text(3)), (9, text(4)), (9, text(5)), (9, text(5))]
+    docs = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(rows(P.keep_one_of_each_group(spark, docs, sf_dir)), key=str)
+    null = [t for d, t in got if d is None]
+    assert len(null) == 2 and text(2) in null and {text(1), text(1) + " end"} & set(null)
+    assert [r for r in got if r[0] is not None] == [(5, text(0)), (7, text(3)), (9, text(4)), (9, text(5))]
