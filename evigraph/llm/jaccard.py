@@ -1,32 +1,31 @@
 """Exact n-gram Jaccard join by prefix filters under several global token orders.
 
 A document is the set of its distinct runs of ``width`` words (A-Z as a-z). Two sets x, y with ``|x & y| >= t |x | y|`` share a
-token among the first ``|x| - ceil(t |x|) + 1`` tokens of x and likewise of y, under *any* one order of all tokens. So:
-
-1. Equal sets are one class, named by a 64-bit fingerprint (kept with the set's size), and only classes are compared.
-2. Order 1 puts tokens that many sets of a partition share last, by their counts, the rest by hash. Each class sends its prefix of
-   order 1 to the tokens' posting lists, copies within a partition once. Tokens of one class end there. The list of frequent tokens
-   is a broadcast of at most ``MAX_FREQUENT`` of them: it changes the order, thus the speed, and never the result.
-3. Rounds: in a posting list each class whose component differs from the list's leader is paired with that leader; lists choose
-   among a few leaders. Pairs must pass a bound on their difference and share prefix tokens in all the other orders too; those that
-   do are verified on their texts. Links join components. A list of copies is so linked by a few pairs for each member. The last
-   round pairs all members of different components, so that no link between different components is lost. Components are exact;
-   links within a component are not all listed.
-
-The bound: each class has the parities of its tokens' counts in ``64 * BITS`` places. Two classes differ in at least as many tokens as
-parities, and a link allows ``(1 - t) / (1 + t)`` of the sum of sizes.
-
-Components need only the links that join them, which keeps lists of thousands of near copies linear.
+token among the first ``|x| - ceil(t |x|) + 1`` tokens of x and likewise of y, under *any* one order of all tokens; and if that
+shared token is the first one, at places i and j, then ``|x & y| <= min(|x| - i, |y| - j)``. So:
+
+1. Every text is read once into its sorted tokens (:func:`tokenized`). Equal sets are one class, named by a 64-bit fingerprint, and
+   only classes are compared.
+2. Order 1 puts rare tokens first: by the number of sets that hold a token, counted over all of them (:func:`frequent`), then by
+   hash. Each class sends its prefix, with places, to the tokens' posting lists; tokens of one class end there.
+3. A list's leader is its class that shares most prefix tokens with others (an original shares more than its altered copies). First
+   all others are paired with their leader, and links join components. Then classes outside a list's largest component are paired
+   with all classes of other components, so no link between two components is lost. Both keep a pair only if sizes and places allow
+   a link, which ends nearly all pairs of classes that are alike, but not enough.
+4. Candidates must share prefix tokens under each of ``OTHER_ORDERS`` too; these filters meet by class, before token sets are moved.
+   What remains is verified on the whole sets.
+
+Components need only the links that join them, which keeps lists of thousands of near copies linear. Counts of tokens decide about an
+order, thus about speed, and never about results: only the ``MAX_FREQUENT`` most frequent tokens are broadcast, others count as rare.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm import words as W
@@ -41,13 +40,11 @@ OTHER_ORDERS = (101, 202)
 MAX_FREQUENT = 1 << 18
 #: A broadcast of ids stays under 8 bytes x this.
 MAX_BROADCAST_IDS = 1 << 20
-#: Leaders of a list in each round before the last.
-LEADERS = (1, 4, 8)
-#: Longs of parities.
-BITS = 16
-FOLDED = 4
-#: Longs of parities that pairs which pass the others are asked for; of use up to about 7000 shingles.
-WIDE = 64
+#: Tokens that are counted together in one part, as far as MAX_PARTS parts allow; a part's token takes 4 bytes.
+PART_TOKENS, MAX_PARTS = 1 << 22, 1 << 17
+FLUSH = 1 << 21
+#: Classes of a task that are remembered, to send copies within it once.
+REMEMBERED = 1 << 20
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
@@ -74,93 +71,155 @@ def fingerprint(tokens: np.ndarray) -> int:
     return int(W.mix(np.array([total], W.U), 9).view(np.int64)[0])
 
 
-def parities(tokens: np.ndarray, longs: int = BITS) -> np.ndarray:
-    """``longs`` signed longs."""
-    counts = np.bincount((W.mix(tokens, 55) % W.U(64 * longs)).astype(np.int64), minlength=64 * longs)
-    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
-
-
 def prefix_length(n: int) -> int:
     """n - ceil(t n) + 1."""
     return n + (-NUM * n) // DEN + 1
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for batch in batches:
-        for chunk in W.chunks(batch):
-            yield chunk, shingle_sets(chunk.column(chunk.schema.get_field_index("text")), width)
+def tokenized(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, key, n, tokens) for each row: the class, the set's size and the bytes of its sorted hashes; key 0 of an empty set."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in W.chunks(batch):
+                sets = shingle_sets(chunk.column(1), width)
+                yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "key", "n", "tokens"])
 
-def memberships(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, key, n_shingles, bits) for each row; the key is 0 for an empty set."""
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n int, tokens binary")
 
-    def run(batches):
-        for chunk, sets in _sets(batches, width):
-            yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "key", "n_shingles", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key long, n_shingles long, bits array<long>")
+def _new_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of batches (key, tokens): keys, all tokens in order and each set's begin (and the end), copies within the task once."""
+    seen: set[int] = set()
+    for batch in batches:
+        keys, tokens = batch.column(0).to_numpy(), batch.column(1)
+        rows = []
+        for i, key in enumerate(keys.tolist()):
+            if key and key not in seen:
+                seen.add(key)
+                rows.append(i)
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        for at in range(0, len(rows), 256):
+            sets = [np.frombuffer(tokens[i].as_buffer(), W.U) for i in rows[at : at + 256]]
+            starts = np.zeros(len(sets) + 1, np.int64)
+            np.cumsum([len(s) for s in sets], out=starts[1:])
+            yield keys[rows[at : at + 256]], np.concatenate(sets), starts
+
 
+def _names(tokens: np.ndarray, parts: int) -> np.ndarray:
+    """The name under which a token is counted: its part, then 32 bits; tokens of a part rarely share one."""
+    m = W.mix(tokens, 21)
+    return ((m >> W.U(32)) % W.U(parts) << W.U(32)) | (m & W.U(0xFFFFFFFF))
 
-def frequent_tokens(docs: DataFrame, width: int = WIDTH, flush: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that recur among different sets of a partition, with their counts summed over partitions; the most frequent ones."""
 
-    def run(batches):
-        seen, held, size = set(), [], 0
+def frequent(sets: DataFrame, n_tokens: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of parts, and the names and counts of the tokens of most sets, by name.
+
+    All tokens of all sets are counted: a task sums up what it holds and sends 4 bytes for each. Copies in different tasks count again.
+    """
+    parts = int(min(MAX_PARTS, max(1, -(-n_tokens // PART_TOKENS))))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
 
         def counted():
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n > 1
-            return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(n[often])], ["token", "n"])
-
-        for _, sets in _sets(batches, width):
-            for s in sets:
-                key = fingerprint(s)
-                if len(s) and key not in seen:
-                    seen.add(key)
-                    held.append(s)
-                    size += len(s)
-            if size >= flush:
+            names, n = np.unique(np.concatenate(held), return_counts=True)
+            part, low = (names >> W.U(32)).astype(np.int64), names.astype(np.uint32)
+            own = np.flatnonzero(np.diff(part, prepend=-1))
+            once, twice = [], []
+            for a, b in zip(own, np.append(own[1:], len(part))):
+                few = n[a:b] == 1
+                once.append(low[a:b][few].tobytes())
+                twice.append(np.stack([low[a:b][~few], n[a:b][~few].astype(np.uint32)]).T.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(part[own].astype(np.int32)), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["part", "once", "twice"])
+
+        for _, tokens, _ in _new_classes(batches):
+            held.append(_names(tokens, parts))
+            size += len(tokens)
+            if size >= FLUSH:
                 yield counted()
                 held, size = [], 0
         if held:
             yield counted()
 
-    rows = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 2")
-    found = rows.orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toArrow()
-    tokens, n = found.column("token").to_numpy().view(W.U), found.column("n").to_numpy()
-    order = np.argsort(tokens)
-    return tokens[order], n[order]
-
-
-def _rank(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Positions of the tokens in order 1."""
-    n = np.zeros(len(tokens), np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        n = np.where(frequent[at] == tokens, counts[at], 0)
-    return np.lexsort((W.mix(tokens, 11), n))
-
-
-def postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int = WIDTH) -> DataFrame:
-    """(token, key) for tokens in the order-1 prefixes of two classes at least, each class once in a token's list."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-
-    def emit(batches):
-        seen = set()
-        for _, sets in _sets(batches, width):
-            tokens, keys = [], []
-            for s in sets:
-                key = fingerprint(s)
-                if not len(s) or key in seen:
-                    continue
-                seen.add(key)
-                first = s[_rank(s, *shared.value)[: prefix_length(len(s))]]
-                tokens.append(first)
-                keys.append(np.full(len(first), key))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys))], ["token", "key"])
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, once, twice = None, [], []
+
+        def summed():
+            single = np.sort(np.concatenate(once)) if once else np.zeros(0, np.uint32)
+            first = np.flatnonzero(np.diff(single.astype(np.int64), prepend=-1))
+            runs = np.diff(np.append(first, len(single)))
+            more = first[runs > 1], runs[runs > 1]
+            pairs = np.concatenate(twice) if twice else np.zeros((0, 2), np.uint32)
+            # a count that a task sent may add to a token that others hold once
+            names, back = np.unique(np.concatenate([single[more[0]], pairs[:, 0]]), return_inverse=True)
+            n = np.bincount(back, weights=np.concatenate([more[1], pairs[:, 1]]), minlength=len(names)).astype(np.int64)
+            if len(single) and len(names):
+                lone = single[first[runs == 1]]
+                k = np.minimum(np.searchsorted(lone, names), max(0, len(lone) - 1))
+                n += (lone[k] == names) if len(lone) else 0
+            keep = n > 2
+            return pa.RecordBatch.from_arrays([pa.array((at << 32) + names[keep].astype(np.int64)), pa.array(n[keep])], ["name", "n"])
+
+        for batch in batches:
+            for part, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != at:
+                    if at is not None:
+                        yield summed()
+                    at, once, twice = part, [], []
+                once.append(np.frombuffer(a, np.uint32))
+                twice.append(np.frombuffer(b, np.uint32).reshape(-1, 2))
+        if at is not None:
+            yield summed()
+
+    sent = sets.where("n > 0").select("key", "tokens").mapInArrow(send, "part int, once binary, twice binary")
+    dealt = sent.repartition("part").sortWithinPartitions("part")
+    found = materialize(dealt.mapInArrow(add, "name long, n long"), "frequent")
+    # the least count that leaves MAX_FREQUENT names at most
+    bins = found.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()
+    total, least = 0, 1 << 17
+    for r in bins:
+        total += r.k
+        if total > MAX_FREQUENT:
+            break
+        least = r.n
+    rows = found.where(F.col("n") >= least).orderBy("name").toArrow()
+    drop(found)
+    return parts, rows.column("name").to_numpy().view(W.U), rows.column("n").to_numpy()
+
+
+def order_values(tokens: np.ndarray, parts: int, names: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Values that sort tokens in order 1; equal ones stand by the tokens themselves."""
+    out = W.mix(tokens, 11) >> W.U(16)
+    if len(names):
+        own = _names(tokens, parts)
+        known = np.zeros(1 << 22, bool)
+        known[names & W.U((1 << 22) - 1)] = True
+        at = np.flatnonzero(known[own & W.U((1 << 22) - 1)])
+        k = np.minimum(np.searchsorted(names, own[at]), len(names) - 1)
+        n = np.where(names[k] == own[at], np.minimum(counts[k], (1 << 16) - 1), 0)
+        out[at] |= n.astype(W.U) << W.U(48)
+    return out
+
+
+def postings(sets: DataFrame, known: tuple[int, np.ndarray, np.ndarray]) -> DataFrame:
+    """(token, key, n, at): order-1 prefixes with sizes and places, of tokens that two classes hold there, each class once in a list."""
+    shared = sets.sparkSession.sparkContext.broadcast(known)
+    names = ["token", "key", "n", "at"]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, tokens, starts in _new_classes(batches):
+            values, sizes = order_values(tokens, *shared.value), np.diff(starts)
+            firsts = []
+            for a, b in zip(starts[:-1], starts[1:]):
+                firsts.append(a + np.argsort(values[a:b], kind="stable")[: prefix_length(int(b - a))])
+            each = np.array([len(f) for f in firsts])
+            at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[np.concatenate(firsts)].view(np.int64)), pa.array(np.repeat(keys, each)), pa.array(np.repeat(sizes, each).astype(np.int32)), pa.array(at.astype(np.int32))], names)
 
-    def lists(batches):
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted by token and key; the last row of a batch waits until it is known whether its token has another key
         waiting, sent_on = None, False
         for batch in batches:
@@ -182,127 +241,132 @@ def postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: in
             yield batch.take(pa.array(rows[like_before | like_next]))
             waiting, sent_on = batch.slice(rows[-1], 1), like_before[-1]
 
-    sent = docs.select("text").mapInArrow(emit, "token long, key long").repartition("token").sortWithinPartitions("token", "key")
-    return sent.mapInArrow(lists, "token long, key long")
+    schema = "token long, key long, n int, at int"
+    sent = sets.where("n > 0").select("key", "tokens").mapInArrow(emit, schema).repartition("token").sortWithinPartitions("token", "key")
+    return sent.mapInArrow(lists, schema)
 
 
-def _near(a: str, b: str, name: str = "b", longs: int = BITS) -> str:
-    """SQL: the sizes and parities of two classes allow a link."""
-    apart = " + ".join(f"bit_count({a}.{name}{i} ^ {b}.{name}{i})" for i in range(longs))
-    return f"least({a}.n, {b}.n) * {DEN} >= greatest({a}.n, {b}.n) * {NUM} AND ({apart}) * {DEN + NUM} <= ({a}.n + {b}.n) * {DEN - NUM}"
+def _possible(a: str, b: str) -> str:
+    """SQL: sizes and places of a shared token allow a link in which it is the first shared one."""
+    return f"least({a}.n, {b}.n) * {DEN}L >= greatest({a}.n, {b}.n) * {NUM}L AND least({a}.n - {a}.at, {b}.n - {b}.at) * {DEN + NUM}L >= ({a}.n + {b}.n) * {NUM}L"
 
 
-def _led(lists: DataFrame, classes: DataFrame, leaders: int, seed: int) -> DataFrame:
-    """Distinct pairs (a < b) of a key and its list's leader, of other components, that may be linked.
+def _ordered() -> list[Column]:
+    return [F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")]
 
-    ``lists`` has token, key, comp. A list's leader is its key of least hash with the seed and one of ``leaders`` values of the token.
-    """
-    first = F.struct(F.xxhash64(F.col("key"), F.pmod("token", F.lit(leaders)), F.lit(seed)), "key", "comp")
-    leads = lists.groupBy("token").agg(F.min(first).alias("lead"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    joined = lists.alias("a").join(leads.alias("b"), "token").where("a.comp <> b.lead.comp")
-    return _near_pairs(joined.select(F.least("a.key", "b.lead.key").alias("ka"), F.greatest("a.key", "b.lead.key").alias("kb")).distinct(), classes)
+
+def _led(lists: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of a class and its list's leader that may be linked. ``lists`` has token, key, n, at, degree."""
+    lead = F.max(F.struct("degree", F.xxhash64("key"), "key", "n", "at")).alias("lead")
+    leads = lists.groupBy("token").agg(lead).select("token", "lead.key", "lead.n", "lead.at")
+    return lists.alias("a").join(leads.alias("b"), F.expr("a.token = b.token AND a.key <> b.key AND " + _possible("a", "b"))).select(*_ordered()).distinct()
 
 
-def _all(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of keys of a list, of other components, that may be linked. Keys of one component never meet."""
-    mixed = lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    # places of the parities put together in FOLDED longs keep the bound; they go with the rows, the others are asked afterwards
-    folded = [f"f{i}" for i in range(FOLDED)]
-    folds = classes.select("key", "n", *[reduce(lambda x, y: x.bitwiseXOR(y), [F.col(f"b{j}") for j in range(i, BITS, FOLDED)]).alias(f) for i, f in enumerate(folded)])
-    rows = materialize(lists.join(mixed, "token", "left_semi").join(folds, "key"), "mixed")
-    parts = rows.select("token", "comp").distinct()
-    two = parts.withColumnRenamed("comp", "ca").join(parts.withColumnRenamed("comp", "cb"), "token").where("ca < cb")
-    left = two.alias("p").join(rows.alias("l"), F.expr("p.token = l.token AND p.ca = l.comp")).select("p.token", "p.cb", "l.key", "l.n", *[f"l.{f}" for f in folded])
-    joined = left.alias("a").join(rows.alias("b"), F.expr("a.token = b.token AND a.cb = b.comp AND " + _near("a", "b", "f", FOLDED)))
-    return _near_pairs(joined.select(F.least("a.key", "b.key").alias("ka"), F.greatest("a.key", "b.key").alias("kb")).distinct(), classes)
+def _across(lists: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of classes of a list, of other components, that may be linked. ``lists`` has token, key, n, at, comp."""
+    parts = lists.groupBy("token", "comp").agg(F.count("*").alias("k"), F.min("n").alias("least"))
+    mixed = parts.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("m"), F.min("least").alias("least"), F.count("*").alias("c")).where("c > 1")
+    rows = materialize(lists.join(mixed.select("token", F.col("m.comp").alias("most"), "least"), "token"), "mixed")
+    # with the least size of the list, or the least one that may be linked, its place must allow a link
+    least = F.greatest(F.col("least"), F.ceil(F.col("n") * NUM / DEN))
+    minor = rows.where((F.col("comp") != F.col("most")) & ((F.col("n") - F.col("at")) * (DEN + NUM) >= (F.col("n") + least) * NUM))
+    met = F.expr("a.token = b.token AND a.comp <> b.comp AND (b.comp = b.most OR a.key < b.key) AND " + _possible("a", "b"))
+    return minor.alias("a").join(rows.alias("b"), met).select(*_ordered()).distinct()
 
 
-def _near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    near = pairs.join(classes.alias("a"), F.expr("ka = a.key")).join(classes.alias("b"), F.expr("kb = b.key")).where(_near("a", "b"))
-    return near.select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+def _prefix(tokens: np.ndarray, seed: int) -> np.ndarray:
+    """The prefix under another order, as 32-bit values; tokens that are equal have equal ones."""
+    k = prefix_length(len(tokens))
+    return (np.partition(W.mix(tokens, seed), k - 1)[:k] >> W.U(32)).astype(np.uint32)
 
 
-def links(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose texts (key, n, wide, text) share prefix tokens under each other order and reach the threshold."""
+def chosen_sets(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, n, tokens, o0, o1, ...) of each class of ``pairs`` (a, b): its set, and its prefixes under the other orders."""
 
-    def run(batches):
-        last = (None, None)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in W.chunks(batch, "text_b"):
-                ids, sets_b = chunk.column(0).to_pylist(), shingle_sets(chunk.column(3), width)
-                keep = []
-                for i, b in enumerate(sets_b):
-                    if ids[i] != last[0]:
-                        last = (ids[i], shingle_sets(chunk.column(2).slice(i, 1), width)[0])
-                    keep.append(_linked(last[1], b))
-                yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(1)], ["a", "b"]).filter(pa.array(keep))
-
-    own = lambda s: texts.select(F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("wide").alias(f"wide{s}"))
-    apart = F.aggregate(F.zip_with("widea", "wideb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = pairs.join(own("b"), "b").join(own("a"), "a").where(apart * (DEN + NUM) <= (F.col("na") + F.col("nb")) * (DEN - NUM)).select("a", "b")
-    with_b = near.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
-def _linked(a: np.ndarray, b: np.ndarray) -> bool:
-    if not len(a) or not len(b):
-        return False
-    for seed in OTHER_ORDERS:
-        ha, hb = W.mix(a, seed), W.mix(b, seed)
-        pa_, pb = prefix_length(len(a)), prefix_length(len(b))
-        first_a, first_b = np.partition(ha, pa_ - 1)[:pa_], np.partition(hb, pb - 1)[:pb]
-        if not len(np.intersect1d(first_a, first_b, assume_unique=True)):
-            return False
+            own = [np.frombuffer(t.as_buffer(), W.U) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([_prefix(s, seed).view(np.int32) for s in own], pa.list_(pa.int32())) for seed in OTHER_ORDERS]], [*batch.schema.names, *[f"o{i}" for i in range(len(OTHER_ORDERS))]])
+
+    keys = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
+    own = sets.join(small_side(keys, MAX_BROADCAST_IDS), "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    out = materialize(own.mapInArrow(run, "key long, n int, tokens binary" + "".join(f", o{i} array<int>" for i in range(len(OTHER_ORDERS)))), "chosen")
+    drop(keys)
+    return out
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return DEN * common >= NUM * (len(a) + len(b) - common)
 
 
+def links(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Those (a, b) of ``pairs`` that share prefix tokens under each other order and whose sets reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [linked(np.frombuffer(x.as_buffer(), W.U), np.frombuffer(y.as_buffer(), W.U)) for x, y in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    orders = [f"o{i}" for i in range(len(OTHER_ORDERS))]
+    own = lambda s: chosen.select(F.col("key").alias(s), *[F.col(o).alias(f"{s}{o}") for o in orders])
+    both = pairs.join(own("b"), "b").join(own("a"), "a")
+    for o in orders:
+        both = both.where(F.arrays_overlap(f"a{o}", f"b{o}"))
+    for s in ("b", "a"):
+        both = both.join(chosen.select(F.col("key").alias(s), F.col("tokens").alias(f"tokens_{s}")), s)
+    return both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long")
+
+
 def components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id of any type with an order, text).
 
     component_id is the smallest doc_id of the documents reachable by links. Null, empty and blank texts have 0 shingles and are
     linked with nothing, so their component is their own doc_id. Rows with equal doc_id are documents of their own with that name.
-    A row without doc_id is linked to equal sets only, and names no component that has an id. Extra columns are not read.
+    A row without doc_id is linked like any other, but gives no name: the component of rows without any id is null. Extra columns
+    are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    member = materialize(memberships(docs, width), "members")
-    lists = materialize(postings(docs, frequent_tokens(docs, width), width), "postings")
-    keys = lists.select("key").distinct()
-    reps = materialize(member.where("n_shingles > 0 AND doc_id IS NOT NULL").join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")), "representatives")
-    # the texts of compared classes; a doc_id that several rows share may bring texts of other classes, which go again
-    small = small_side(reps.select("doc_id", "key"), MAX_BROADCAST_IDS)
-    classes = reps.select("key", "n", *[F.col("bits")[i].alias(f"b{i}") for i in range(BITS)])
-    texts = materialize(_keyed(docs.join(small, "doc_id", "left_semi"), width).join(small, ["doc_id", "key"], "left_semi"), "texts")
-    release(docs.sparkSession)
-    found, comp = None, None
-    for k in range(len(LEADERS) + 1):
-        if comp is None:
-            labelled = lists.withColumn("comp", F.col("key"))
-        else:
-            labelled = lists.join(comp, F.col("key") == F.col("node"), "left").select("token", "key", F.coalesce("component", "key").alias("comp"))
-        labelled = labelled.select("token", "key", "comp")
-        pairs = materialize(_led(labelled, classes, LEADERS[k], k) if k < len(LEADERS) else _all(labelled, classes), "pairs")
-        new = materialize(links(pairs, texts, width), "links")
-        found = new if found is None else found.unionByName(new)
-        none = new.isEmpty()
-        if not none:
-            comp = materialize(connected_components(found, "a", "b"), "components")
-        drop(pairs)
-        release(docs.sparkSession)
+    spark = docs.sparkSession
+    sets = materialize(tokenized(docs, width), "sets")
+    n_tokens = sets.agg(F.sum("n")).first()[0] or 0
+    known = frequent(sets, n_tokens)
+    release(spark)
+    lists = materialize(postings(sets, known), "postings")
+    release(spark)
+    degrees = materialize(lists.groupBy("key").agg(F.count("*").alias("degree")), "degrees")
+    n_keys = degrees.count()
+    led = materialize(_led(lists.join(small_side(degrees, MAX_BROADCAST_IDS, n_keys), "key")), "pairs")
+    found, comp = _verified(sets, led, None)
+    release(spark)
+    if comp is not None:
+        labelled = lists.join(small_side(comp, MAX_BROADCAST_IDS), F.col("key") == F.col("node"), "left").select("token", "key", "n", "at", F.coalesce("component", "key").alias("comp"))
+    else:
+        labelled = lists.withColumn("comp", F.col("key"))
+    rest = materialize(_across(labelled).join(led, ["a", "b"], "left_anti"), "pairs")
+    found, comp = _verified(sets, rest, found, comp)
+    for table in (led, rest, degrees, lists, found):
+        drop(table)
+    release(spark)
+    member = sets.select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"))
+    classes = member.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"))
     if comp is None:
-        named = member.withColumn("component", F.col("key"))
+        named = classes.select("key", F.col("first_id").alias("component_id"))
     else:
-        named = member.join(comp, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key"))
-    lone = named.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    linked = named.where("n_shingles > 0")
-    least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return linked.join(least, "component").select("doc_id", "n_shingles", "component_id").unionByName(lone)
-
-
-def _keyed(docs: DataFrame, width: int) -> DataFrame:
-    def run(batches):
-        for chunk, sets in _sets(batches, width):
-            yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s, WIDE) for s in sets], pa.list_(pa.int64())), chunk.column(1)], ["doc_id", "key", "n", "wide", "text"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, n long, wide array<long>, text string")
+        each = materialize(classes.join(comp, F.col("key") == F.col("node"), "left").select("key", "first_id", F.coalesce("component", "key").alias("component")), "classes")
+        least = each.groupBy("component").agg(F.min("first_id").alias("component_id"))
+        named = each.join(least, "component").select("key", "component_id")
+    lone = member.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return member.where("n_shingles > 0").join(named, "key").select("doc_id", "n_shingles", "component_id").unionByName(lone)
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, found: DataFrame | None, comp: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """All links so far and their components (node, component), ``pairs`` included."""
+    if pairs.isEmpty():
+        return found, comp
+    chosen = chosen_sets(sets, pairs)
+    new = materialize(links(pairs, chosen), "links")
+    drop(chosen)
+    if new.isEmpty():
+        return found, comp
+    every = new if found is None else materialize(found.unionByName(new), "links")
+    return every, materialize(connected_components(every, "a", "b"), "components")
