@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,8 @@ def small_side(df: DataFrame, most_rows: int, rows: int | None = None) -> DataFr
 
 def release(spark: SparkSession) -> None:
     """Have the driver collect garbage between the rounds of a loop: Spark deletes the shuffle files of queries that nothing refers to
-    any more, which else stay until the driver's heap happens to fill up."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    any more, which else stay until the driver's heap happens to fill up. What the first pass frees may hold others."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
