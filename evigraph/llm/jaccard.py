@@ -335,6 +335,7 @@ def components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     release(spark)
     degrees = materialize(lists.groupBy("key").agg(F.count("*").alias("degree")), "degrees")
     n_keys = degrees.count()
+    release(spark)
     led = materialize(_led(lists.join(small_side(degrees, MAX_BROADCAST_IDS, n_keys), "key")), "pairs")
     found, comp = _verified(sets, led, None)
     release(spark)
@@ -364,8 +365,10 @@ def _verified(sets: DataFrame, pairs: DataFrame, found: DataFrame | None, comp:
     if pairs.isEmpty():
         return found, comp
     chosen = chosen_sets(sets, pairs)
+    release(sets.sparkSession)
     new = materialize(links(pairs, chosen), "links")
     drop(chosen)
+    release(sets.sparkSession)
     if new.isEmpty():
         return found, comp
     every = new if found is None else materialize(found.unionByName(new), "links")
