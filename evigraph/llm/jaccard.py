@@ -37,7 +37,7 @@ WIDTH = 5
 NUM, DEN = 75, 100
 #: Orders besides the first, each a seed of the mixing function.
 OTHER_ORDERS = (101, 202)
-MAX_FREQUENT = 1 << 18
+MAX_FREQUENT = 1 << 20
 #: A broadcast of ids stays under 8 bytes x this.
 MAX_BROADCAST_IDS = 1 << 20
 #: Tokens that are counted together in one part, as far as MAX_PARTS parts allow; a part's token takes 4 bytes.
@@ -336,19 +336,22 @@ def components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     degrees = materialize(lists.groupBy("key").agg(F.count("*").alias("degree")), "degrees")
     n_keys = degrees.count()
     release(spark)
+    # from here on only the tokens of classes in a list are needed
+    member = materialize(sets.select("doc_id", "key", F.col("n").cast("long").alias("n_shingles")), "members")
+    compared = materialize(sets.join(small_side(degrees.select("key"), MAX_BROADCAST_IDS, n_keys), "key", "left_semi").select("key", "n", "tokens"), "compared")
+    drop(sets)
     led = materialize(_led(lists.join(small_side(degrees, MAX_BROADCAST_IDS, n_keys), "key")), "pairs")
-    found, comp = _verified(sets, led, None)
+    found, comp = _verified(compared, led, None)
     release(spark)
     if comp is not None:
         labelled = lists.join(small_side(comp, MAX_BROADCAST_IDS), F.col("key") == F.col("node"), "left").select("token", "key", "n", "at", F.coalesce("component", "key").alias("comp"))
     else:
         labelled = lists.withColumn("comp", F.col("key"))
     rest = materialize(_across(labelled).join(led, ["a", "b"], "left_anti"), "pairs")
-    found, comp = _verified(sets, rest, found, comp)
-    for table in (led, rest, degrees, lists, found):
+    found, comp = _verified(compared, rest, found, comp)
+    for table in (led, rest, degrees, lists, found, compared):
         drop(table)
     release(spark)
-    member = sets.select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"))
     classes = member.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"))
     if comp is None:
         named = classes.select("key", F.col("first_id").alias("component_id"))
