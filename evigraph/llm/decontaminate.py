@@ -10,8 +10,8 @@ of the documents no longer matters. With one row to a band a window and an item
 ``1 - (1 - J) ** b``; b is the least for which that is ``RECALL`` at the threshold (for a whole passage it is 1 - 1e-6).
 Windows' minima come from minima over blocks, so that each hash costs one product and one pass.
 
-Items are handled in blocks of ``MAX_ITEMS`` that are broadcast, and each block is one pass over the documents; no row of a document
-is shuffled.
+Items are handled in blocks of ``MAX_ITEMS`` or ``MAX_BYTES`` that are broadcast, and each block is one pass over the documents; no row
+of a document is shuffled.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from evigraph.plans.scratch import materialize, small_side
 WIDTH = 5
 THRESHOLD = 0.75
 RECALL = 0.9999
-MAX_ITEMS = 20_000
+MAX_ITEMS, MAX_BYTES = 20_000, 64 << 20
 MAX_BROADCAST_IDS = 1 << 20
 
 
@@ -130,9 +130,10 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, plain:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    sets = item_sets(items, plain)
+    sets = materialize(item_sets(items, plain), "items")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, n_shared long, n_shingles long"
-    blocks = max(1, -(-sets.count() // MAX_ITEMS))
+    n, size = sets.agg(F.count("*"), F.sum(F.length("tokens"))).first()
+    blocks = max(1, -(-n // MAX_ITEMS), -(-(size or 0) // MAX_BYTES))
     parts = [_find_block(docs, sets.where(F.pmod(F.xxhash64("item_id", "tokens"), F.lit(blocks)) == k), threshold, schema, plain) for k in range(blocks)]
     parts = [p for p in parts if p is not None]
     if not parts:
@@ -144,16 +145,17 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, plain:
 
 
 def _find_block(docs: DataFrame, sets: DataFrame, threshold: float, schema: str, plain: bool) -> DataFrame | None:
-    rows = sets.collect()
-    if not rows:
+    table = sets.select("item_id", "width", "tokens").toArrow()
+    if not table.num_rows:
         return None
-    shared = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.width, bytes(r.tokens)) for r in rows])
-    item_type = sets.schema["item_id"].dataType.simpleString()
+    names = table.column("item_id").combine_chunks()
+    shared = docs.sparkSession.sparkContext.broadcast((names, table.column("width").to_pylist(), table.column("tokens").to_pylist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multipliers = _multipliers(bands(threshold))
         by_width: dict[int, Items] = {}
-        for i, width, tokens in shared.value:
+        names = shared.value[0]
+        for i, (width, tokens) in enumerate(zip(*shared.value[1:])):
             own = by_width.setdefault(width, Items([], [], threshold))
             own.ids.append(i)
             own.sets.append(np.frombuffer(tokens, W.U))
@@ -176,13 +178,13 @@ def _find_block(docs: DataFrame, sets: DataFrame, threshold: float, schema: str,
                             hits.append((doc, own.ids[i], common, len(own.sets[i])))
                 if hits:
                     doc, item, common, size = zip(*hits)
-                    yield pa.RecordBatch.from_arrays([chunk.column(0).take(pa.array(doc)), pa.array(item, pa_type[item_type]), pa.array(common, pa.int64()), pa.array(size, pa.int64())], ["doc_id", "item_id", "n_shared", "n_shingles"])
+                    yield pa.RecordBatch.from_arrays([chunk.column(0).take(pa.array(doc)), names.take(pa.array(item)), pa.array(common, pa.int64()), pa.array(size, pa.int64())], ["doc_id", "item_id", "n_shared", "n_shingles"])
 
-    pa_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
     return docs.mapInArrow(run, schema)
 
 
 def remove(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``docs`` that contain no item; rows without doc_id are searched too, and share their verdict."""
-    found = materialize(find(docs, items, threshold).select(F.col("doc_id").alias("found_id")).distinct(), "found")
-    return docs.join(small_side(found, MAX_BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("found_id")), "left_anti")
+    """Rows of ``docs`` that contain no item. Each row is judged by its own text, whatever its doc_id; equal rows share their verdict."""
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    found = materialize(find(docs.select(key.alias("doc_id"), "text"), items, threshold).select(F.col("doc_id").alias("found_key")).distinct(), "found")
+    return docs.join(small_side(found, MAX_BROADCAST_IDS), key == F.col("found_key"), "left_anti")

@@ -94,24 +94,33 @@ def fit(docs: DataFrame, max_train: int = 2400, landmarks: int = 256, ridge: flo
     rows.sort(key=lambda r: (r[1], r[0], bytes(r[2])))
     if not rows:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    unpack = lambda part: np.unpackbits(np.frombuffer(b"".join(r[2] for r in part), np.uint8).reshape(len(part), -1), axis=1).astype(np.float32)
     turn: dict[str, int] = {}
     places = []
     for i, r in enumerate(rows):
         turn[r[0]] = turn.get(r[0], 0) + 1
         places.append((turn[r[0]], i))
-    marks = unpack([rows[i] for _, i in sorted(places)[: max(landmarks, len(langs))]])
-    marks /= np.sqrt(np.maximum(marks.sum(1, keepdims=True), 1))
-    kernel = np.concatenate([(p @ marks.T) / np.sqrt(np.maximum(p.sum(1, keepdims=True), 1)) for at in range(0, len(rows), 256) for p in [unpack(rows[at : at + 256])]]).astype(float)
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))
+    marked = [i for _, i in sorted(places)[: max(landmarks, len(langs))]]
+    # presence stays packed: shared n-grams are counted on bits, and no dense row is made but of a few landmarks at a time
+    bits = np.frombuffer(b"".join(r[2] for r in rows), W.U).reshape(len(rows), -1)
+    named = [r[0] for r in rows]
+    del rows
+    marks = bits[marked]
+    size = np.sqrt(np.maximum(np.bitwise_count(bits).sum(1, dtype=np.int64), 1))
+    kernel = np.stack([np.bitwise_count(b & marks).sum(1, dtype=np.int64) for b in bits]) / size[:, None] / size[marked]
+    values, vectors = np.linalg.eigh(kernel[marked])
     keep = values > 1e-6 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
     inputs = kernel @ whiten
-    targets = np.array([[r[0] == k for k in langs] for r in rows], float)
+    targets = np.array([[n == k for k in langs] for n in named], float)
     mean, bias = inputs.mean(0), targets.mean(0)
     inputs = inputs - mean
-    solved = np.linalg.solve(inputs.T @ inputs + ridge * len(rows) / max(1, keep.sum()) * np.eye(keep.sum()), inputs.T @ (targets - bias))
-    return LanguageModel(langs, (marks.T @ (whiten @ solved)).astype(np.float32), bias - mean @ solved)
+    solved = np.linalg.solve(inputs.T @ inputs + ridge * len(named) / max(1, keep.sum()) * np.eye(keep.sum()), inputs.T @ (targets - bias))
+    by_mark = (whiten @ solved) / size[marked][:, None]
+    weights = np.zeros((BUCKETS, len(langs)))
+    for at in range(0, len(marked), 16):
+        dense = np.unpackbits(marks[at : at + 16].view(np.uint8), axis=1)
+        weights += dense.T @ by_mark[at : at + 16]
+    return LanguageModel(langs, weights.astype(np.float32), bias - mean @ solved)
 
 
 def predict(docs: DataFrame, model: LanguageModel, lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from evigraph.llm import decontaminate as D
 
 
@@ -64,3 +66,11 @@ def test_edge_rows(spark):
     assert got(D.find(ddf, idf)) == brute(docs, items)
     assert got(D.remove(ddf, idf).select("doc_id")) == got(spark.createDataFrame([(1,), (2,), (7,)], "a long"))
     assert D.find(ddf.limit(0), idf).count() == 0 and D.find(ddf, idf.limit(0)).count() == 0
+
+
+def test_rows_are_removed_each_for_itself(spark):
+    leak, clean = "one two three four five six seven eight nine ten", "eleven twelve thirteen fourteen fifteen sixteen seventeen"
+    docs = spark.createDataFrame([(None, leak), (None, clean), (1, leak), (1, clean), (2, leak), (2, leak), (3, None)], "doc_id long, text string")
+    for kind in ("smallint", "string", "decimal(10,0)", "binary"):
+        items = spark.createDataFrame([("7", leak)], "item_id string, text string").select(F.col("item_id").cast(kind if kind != "binary" else "string").cast(kind).alias("item_id"), "text")
+        assert sorted(map(tuple, D.remove(docs, items).collect()), key=str) == sorted([(None, clean), (1, clean), (3, None)], key=str)
