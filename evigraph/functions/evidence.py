@@ -175,3 +175,53 @@ def transform_choice(normal_passes: Column, alternative_passes: Column, r: Rules
     tried = hinted | ~normal_passes
     improves = ~normal_passes | (F.col("alt_ratio") >= F.col("ransac_inlier_ratio") + F.lit(0.10))
     return tried & alternative_passes & (hinted | improves)
+
+
+#: Columns that a stored pair keeps beside its details.
+FLAT = ("phash_distance", "dino_similarity", "sift_matches", "ransac_inliers", "ransac_inlier_ratio", "flip_detected", "relationship_score", "relationship_level")
+
+
+def flat(df: DataFrame, *candidate: str) -> DataFrame:
+    """Scored evidence with the stored columns and details_json, which holds them and the ``candidate`` columns that are not null."""
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    values = {"dino_similarity": F.col("embedding_similarity"), "sift_matches": count("sift_good_matches"), "ransac_inliers": count("ransac_inliers"), "ransac_inlier_ratio": F.coalesce("ransac_inlier_ratio", F.lit(0.0)), "flip_detected": F.coalesce(F.col("flip_detected").cast("int"), F.lit(0)), "relationship_level": F.col("classification")}
+    rows = df.withColumns(values)
+    return rows.withColumn("details_json", F.to_json(F.struct(*FLAT, "decision", "reuse_verdict", *candidate)))
+
+
+def plain_reasons(most: int = 4) -> Column:
+    """Codes of what a reader is told first, ``most`` of them in their order."""
+    say = lambda c, text: F.when(F.coalesce(c, F.lit(False)), text if isinstance(text, Column) else F.lit(text))
+    sim, points, turn = F.col("embedding_similarity"), F.col("ransac_inliers"), F.col("rotation_degrees")
+    listed = F.array_compact(
+        F.array(
+            say(F.col("exact_duplicate"), "identical"),
+            say(F.col("flip_detected"), "mirror"),
+            say(turn != 0, F.concat(F.lit("rotation:"), turn.cast("string"))),
+            say(F.col("recapture_suspected"), "recapture"),
+            say(F.col("blurred_crop_suspected"), "blurred_crop"),
+            say(F.col("whole_image_fallback_used"), "whole_image"),
+            cascade([(F.col("body_reuse_gate"), "body_reuse"), (F.col("body_reuse_suspected"), "body_suspected")], None),
+            F.concat(F.lit("alike:"), F.floor(sim * 100 + F.lit(0.5)).cast("string"), F.lit("%")),
+            F.concat(F.lit("points:"), points.cast("string")),
+        )
+    )
+    return F.when(F.size(listed) == 0, F.array(F.lit("none"))).otherwise(F.slice(listed, 1, most))
+
+
+def label_counts(matches: DataFrame, key: str) -> DataFrame:
+    """(``key``, counts): of each pair the inliers (label, inlier) by label, as a map; labels without one are left out."""
+    n = matches.where("inlier AND label IS NOT NULL").groupBy(key, "label").agg(F.count("*").cast("int").alias("n"))
+    return n.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("counts"))
+
+
+def best_alternative(distances: dict[str, Column]) -> Column:
+    """distance, place and name of the transform that is closest; of equal ones the first named."""
+    return F.least(*[F.struct(d.cast("int").alias("distance"), F.lit(i).alias("place"), F.lit(n).alias("name")) for i, (n, d) in enumerate(distances.items())])
+
+
+def chosen_transform(r: Rules = Rules()) -> Column:
+    """The name of the best alternative (alt, alt_distance, alt_inliers, alt_ratio) where it is taken, else original."""
+    passes = lambda n, ratio: (F.col(n) >= r.min_inliers) & (F.col(ratio) >= r.min_inlier_ratio)
+    taken = transform_choice(passes("ransac_inliers", "ransac_inlier_ratio"), passes("alt_inliers", "alt_ratio"), r)
+    return F.when(taken, F.col("alt.name")).otherwise(F.lit("original"))

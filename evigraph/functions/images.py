@@ -129,7 +129,7 @@ def hull_area(p: np.ndarray) -> float:
 
 
 def ransac(a: np.ndarray, b: np.ndarray, size_a: tuple[int, int], size_b: tuple[int, int], reach: float = 5.0, rounds: int = 500, seed: int = 0) -> tuple[int, float, float]:
-    """(inliers, their share, the smaller of both sides' covered share); deterministic."""
+    """(inliers, their share, the smaller of both sides' covered share); deterministic. Ends when a better sample is unlikely (1e-6)."""
     if len(a) < 4:
         return 0, 0.0, 0.0
     rng, best = np.random.default_rng(seed), np.zeros(len(a), bool)
@@ -139,7 +139,9 @@ def ransac(a: np.ndarray, b: np.ndarray, size_a: tuple[int, int], size_b: tuple[
         w = np.where(np.abs(q[:, 2]) < 1e-12, 1e-12, q[:, 2])
         return ((q[:, :2] / w[:, None] - b) ** 2).sum(1) <= reach * reach
 
-    for _ in range(rounds):
+    for k in range(rounds):
+        if k * np.log(1 - min(0.99, best.mean()) ** 4) < np.log(1e-6):
+            break
         pick = rng.choice(len(a), 4, replace=False)
         h = fit_homography(a[pick], b[pick])
         if h is not None and np.isfinite(h).all() and (own := inside(h)).sum() > best.sum():

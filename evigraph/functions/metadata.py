@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: the filename tokens
+# fixed values: the filename tokens, the scanner's tag and the types by suffix
 REFERENCE = r"(?i)(?:^|_)(?:home|splitter)_(\d{10})(?:_([^_.]+))?(?=$|[_.])"
 JOB = r"(?i)(?:^|_)(new|ma-mat|ma-new|ma-splice)_(\d{8}|null)(?:_|$)"
 SCANNER = "lat-long/v1"
@@ -114,3 +114,42 @@ def rotation_map(rotations_json: Column, phash: Column) -> Column:
     m = F.from_json(rotations_json, "map<string,string>")
     complete = F.coalesce(F.size(F.array_intersect(F.map_keys(m), F.array(*map(F.lit, ("0", "90", "180", "270"))))) == 4, F.lit(False))
     return F.when(complete, m).when(blank_to_null(phash).isNotNull(), F.create_map(F.lit("0"), phash)).otherwise(F.from_json(F.lit("{}"), "map<string,string>"))
+
+
+def needs_scan(json: Column) -> Column:
+    """Rows to be scanned anew: without metadata, with an error, or without the list of places."""
+    return json.isNull() | json.like('%"error"%') | ~json.like('%"lat_long"%')
+
+
+def exif_time(original: Column, plain: Column) -> Column:
+    """Text of the time in the original tag, or if that is null or empty in the plain one; null unless it is a real time in EXIF's form."""
+    value = F.coalesce(blank_to_null(original), plain)
+    known = F.when(value.rlike(r"^\d{4}:\d{2}:\d{2} \d{2}:\d{2}:\d{2}$"), F.try_to_timestamp(value, F.lit("yyyy:MM:dd HH:mm:ss")))
+    return F.date_format(known, "yyyy-MM-dd HH:mm:ss")
+
+
+def capture_time(stored: Column, exif: Column, date: Column) -> Column:
+    """What is shown as time of capture: the stored one, the file's own, or the day of check-in, as it is if it is no 8-digit date."""
+    day = F.when(date.rlike(r"^\d{8}$"), day_month_year(date)).otherwise(date)
+    return F.coalesce(blank_to_null(stored), blank_to_null(exif), day)
+
+
+def any_time(text: Column) -> Column:
+    """The first 19 characters as a time in one of three forms, else null."""
+    head = F.substring(text, 1, 19)
+    return F.coalesce(*[F.try_to_timestamp(head, F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")])
+
+
+def seconds(first: Column, last: Column) -> Column:
+    """Whole seconds from one time to the other."""
+    return F.timestamp_diff("SECOND", first.cast("timestamp"), last.cast("timestamp"))
+
+
+def label(name: Column) -> Column:
+    """A class name without case, spaces, hyphens and underscores."""
+    return F.translate(F.lower(name), "_- ", "")
+
+
+def shortened(text: Column, most: int) -> Column:
+    """``most`` characters and an ellipsis of texts that are longer than both."""
+    return F.when(F.length(text) > most + 3, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)

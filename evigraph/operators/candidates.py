@@ -26,6 +26,24 @@ def exact_duplicates(items: DataFrame, key: str = "id", digest: str = "sha256")
     return a.join(b, digest).where("a < b").select("a", "b")
 
 
+def duplicate_classes(items: DataFrame, key: str = "id", digest: str = "sha256") -> DataFrame:
+    """(id, representative, size) of items that share their digest: linear in the rows, where pairs grow with the square of a class."""
+    classes = items.groupBy(digest).agg(F.min(key).alias("representative"), F.count("*").alias("size")).where("size > 1")
+    return items.join(classes, digest).select(F.col(key).alias("id"), "representative", "size")
+
+
+def aligned_cosine(hits: DataFrame, least: float, step: int) -> DataFrame:
+    """(a, b, distance, source, sim) of fingerprint hits (angle_a, angle_b, va, vb) whose vectors are alike as they are, or turned alike.
+
+    A turn by 90 degrees shifts a vector cyclically by ``step`` places. Turned ones count where the plain ones fail and angles differ.
+    """
+    turned = lambda v, angle: F.concat(F.slice(v, (F.col(angle) / 90 * step + 1).cast("int"), F.size(v)), F.slice(v, F.lit(1), (F.col(angle) / 90 * step).cast("int")))
+    rows = hits.withColumn("base", cosine(F.col("va"), F.col("vb")))
+    rows = rows.withColumn("turned", F.when((F.col("base") < least) & (F.col("angle_a") != F.col("angle_b")), cosine(turned("va", "angle_a"), turned("vb", "angle_b"))))
+    source = F.when(F.col("base") >= least, "phash_and_base").when(F.col("turned") >= least, "phash_and_rotated")
+    return rows.select("a", "b", "distance", source.alias("source"), F.when(F.col("base") >= least, F.col("base")).otherwise(F.col("turned")).alias("sim")).where("source IS NOT NULL")
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Inner product over norms, at least 1e-12, in doubles."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

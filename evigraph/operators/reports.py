@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.functions.metadata import bangkok, boxes, day_month_year, in_range, scanned
+from evigraph.sources.archive import ROOT
 from evigraph.operators.groups import as_of_groups, merged_by_customer, qualified, resolved_items
 
 PENDING_DONE = ("COMPLETED", "CANCELLED", "FAILED")
@@ -48,13 +49,19 @@ def duplicate_jobs(chosen: DataFrame, pairs: DataFrame) -> DataFrame:
     return per.join(links, "customer_id", "left").select("customer_id", "images_in_system", "reused_images", F.coalesce("evidence_links", F.lit(0)).alias("evidence_links"))
 
 
-def export_preview(items: DataFrame, pairs: DataFrame, min_score: float, first: str | None, last: str | None) -> DataFrame:
+def report_images(items: DataFrame, pairs: DataFrame, min_score: float, first: str | None, last: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The images of all groups that the period touches, merged by customer, with chosen (of the period); qualified pairs; chosen ids."""
     good = qualified(pairs, items, ("exact_file", "same_image", "edited_or_cropped"), min_score)
     chosen = selected(items, good, first, last).select("id", F.lit(True).alias("chosen"))
     grouped = as_of_groups(items, pairs, min_score, last)
     touched = grouped.join(chosen, "id", "left_semi").select("group_id").distinct()
     merged = merged_by_customer(grouped.join(touched, "group_id", "left_semi"), items)
     rows = merged.join(resolved_items(items), "id").join(chosen, "id", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False))).withColumn("overlay", F.size(boxes(F.col("ai_metadata_json"), "datetime")) > 0)
+    return rows, good, chosen
+
+
+def export_preview(items: DataFrame, pairs: DataFrame, min_score: float, first: str | None, last: str | None) -> DataFrame:
+    rows, good, chosen = report_images(items, pairs, min_score, first, last)
     other = ~F.col("chosen")
     only = lambda c, x: F.when(c, F.col(x))
     report = rows.agg(
@@ -107,7 +114,7 @@ def overlay_sections(items: DataFrame, first: str | None = None, last: str | Non
 
 def archive_catalogue(items: DataFrame) -> DataFrame:
     """Of each archive date its files and categories; files without one belong to the root, which sorts first."""
-    root = "__date_root__"
+    root = ROOT
     cat = F.coalesce("source_category", F.lit(root))
     key = F.struct((cat != root).alias("named"), F.lower(cat).alias("low"), cat.alias("name"))
     rows = items.groupBy("source_archive_date").agg(F.count("*").alias("image_count"), F.array_sort(F.collect_set(key)).alias("c"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 _KIND = "['new', 'ma-mat', 'ma-new', 'ma-splice', 'x'][substr(o_orderpriority, 1, 1)::INT]"
-_BOX = """'{"model":"lat-long/v1","metadata_version":2,"lat_long":[],"datetime":[{"bbox":[10.2,20,100,50],"confidence":' || ((50 + o_orderkey % 50) / 100.0)::DECIMAL(4, 2)::VARCHAR || '}]}'"""
+_BOX = """'{"model":"lat-long/v1","metadata_version":2,"lat_long":[],"datetime":[{"bbox":[12.6,34.3,118.7,59],"confidence":' || ((50 + o_orderkey % 50) / 100.0)::DECIMAL(4, 2)::VARCHAR || '}]}'"""
 
 IM = f"""im AS (SELECT lpad(o_orderkey::VARCHAR, 8, '0') AS id,
   {_KIND} || '_' || CASE WHEN o_orderkey % 11 = 0 THEN 'null' ELSE strftime(o_orderdate, '%Y%m%d') END || '_' || CASE o_orderkey % 5 WHEN 0 THEN 'splitter' WHEN 4 THEN 'other' ELSE 'home' END
@@ -44,6 +44,7 @@ def _closure(name: str, edges: str) -> str:
 EDGES = "SELECT image_a_id AS a, image_b_id AS b FROM good"
 BASE = f"WITH RECURSIVE {IM}, {PR}, good AS ({_good(0.8)})"
 GROUPS = f"{BASE}, {_closure('g', EDGES)}"
+ASOF = f"WITH RECURSIVE {IM}, {PR}, early AS (SELECT * FROM r WHERE checkin_date IS NULL OR checkin_date <= '19961231'), good AS ({_good(0.8, items='early')}), {_closure('g', EDGES)}"
 SELECTED = f"""{BASE}, ends AS (SELECT image_a_id AS id FROM good UNION SELECT image_b_id FROM good),
 sel AS (SELECT r.*, r.id IN (SELECT id FROM ends) AS reused, kind = 0 AS overlay, kind IN (0, 1) AS scanned FROM r WHERE checkin_date >= '19950101' AND checkin_date <= '19961231')"""
 
@@ -119,7 +120,7 @@ ORACLES: dict[str, str] = {
     "hamming_cosine_conjunction": f"{FP} SELECT a, b, distance, {_SIX.format('sim')} AS sim FROM ({_CONJ}) WHERE sim >= 0.1",
     "candidate_union_sources": f"""{FP}, t AS (SELECT least(query, match) AS a, greatest(query, match) AS b, max(sim) AS sim FROM ({_TOP}) WHERE query <> match AND sim >= 0.3 GROUP BY ALL),
 legs AS (SELECT a, b, sim, 'vector' AS source, 0 AS p FROM t UNION ALL SELECT a, b, sim, 'phash', 1 FROM ({_CONJ}) WHERE sim >= 0.1
-  UNION ALL SELECT x.vec_id, y.vec_id, 1.0, 'sha256', 3 FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id AND y.vec_id - x.vec_id <= 40)
+  UNION ALL SELECT first, vec_id, 1.0, 'sha256', 3 FROM (SELECT vec_id, min(vec_id) OVER (PARTITION BY label) AS first FROM embeddings) WHERE first < vec_id)
 SELECT a, b, string_agg(source, ',' ORDER BY source) AS sources, {_SIX.format('arg_max(sim, p)')} AS sim FROM legs GROUP BY a, b""",
     "same_submission_filter": f"WITH {IM} SELECT x.id AS a, y.id AS b FROM r x JOIN r y ON x.customer_id = y.customer_id AND x.source_archive_date[:7] = y.source_archive_date[:7] AND x.id < y.id WHERE NOT coalesce(x.checkin_date = y.checkin_date, false)",
     "seen_pair_antijoin": f"WITH {PR} SELECT image_a_id AS a, image_b_id AS b, relationship_score FROM pr WHERE relationship_score < 0.5",
@@ -141,7 +142,7 @@ SELECT detected_transform, (hint OR NOT np) AND ap AND (hint OR NOT np OR fr >=
     "groupable_pairs": f"WITH {IM}, {PR} SELECT image_a_id, image_b_id, relationship_level, relationship_score FROM (" + _good(0.5, "('exact_file', 'same_image', 'edited_or_cropped', 'background_replaced', 'similar_person', 'same_scene_new_capture', 'repeated_checkin')") + ")",
     "connected_component_labels": f"WITH RECURSIVE {PR}, {_closure('c', chr(10) + 'SELECT image_a_id AS a, image_b_id AS b FROM pr WHERE relationship_score >= 0.9 AND relationship_level IN ' + repr(('exact_file', 'same_image', 'unrelated')))} SELECT id AS node, group_id AS component FROM c",
     "reportable_groups": f"{GROUPS} SELECT id, group_id FROM g",
-    "as_of_groups": f"WITH RECURSIVE {IM}, {PR}, early AS (SELECT * FROM r WHERE checkin_date IS NULL OR checkin_date <= '19961231'), good AS ({_good(0.8, items='early')}), {_closure('g', EDGES)} SELECT id, group_id FROM g",
+    "as_of_groups": f"{ASOF} SELECT id, group_id FROM g",
     "customer_merged_groups": f"{GROUPS}, {_merged('g', 'm')} SELECT id, group_id FROM m",
     "group_detail_nested": f"""{GROUPS}, l AS (SELECT x.group_id, count(*) AS n FROM good JOIN g x ON x.id = image_a_id JOIN g y ON y.id = image_b_id AND x.group_id = y.group_id GROUP BY 1)
 SELECT g.group_id, count(*) AS size, any_value(l.n) AS relationship_count, coalesce(string_agg(DISTINCT customer_id, ',' ORDER BY customer_id), '') AS customers, coalesce(string_agg(DISTINCT technician_id, ',' ORDER BY technician_id), '') AS technicians, string_agg(id, ',' ORDER BY id) AS members
@@ -167,8 +168,8 @@ SELECT technician_id, string_agg(DISTINCT customer_id, ',' ORDER BY customer_id)
 coalesce(x.checkin_date[7:8] || '/' || x.checkin_date[5:6] || '/' || x.checkin_date[1:4], '-') AS date_a, coalesce(y.checkin_date[7:8] || '/' || y.checkin_date[5:6] || '/' || y.checkin_date[1:4], '-') AS date_b,
 strftime(x.created_at + INTERVAL 7 HOUR, '%Y-%m-%d %H:%M:%S') AS time_a, least(coalesce(x.checkin_date, ''), coalesce(y.checkin_date, '')) AS sort_date, least(coalesce(x.customer_id, ''), coalesce(y.customer_id, '')) AS sort_customer, least(coalesce(x.job_type, ''), coalesce(y.job_type, '')) AS sort_job_type
 FROM good JOIN r x ON x.id = image_a_id JOIN r y ON y.id = image_b_id""",
-    "overlay_sections": f"WITH {IM} SELECT technician_id, customer_id, string_agg(checkin_date || '|' || original_filename || '|' || (50 + c50) || '|10', ',' ORDER BY checkin_date, original_filename) AS images FROM r WHERE kind = 0 AND checkin_date BETWEEN '19950101' AND '19961231' GROUP BY ALL",
-    "overlay_box_parse": f"WITH {IM} SELECT id, 10 AS x1, 20 AS y1, 100 AS x2, 50 AS y2, json_extract(ai_metadata_json, '$.datetime[0].confidence')::DOUBLE AS confidence FROM (SELECT * FROM im WHERE kind = 0)",
+    "overlay_sections": f"WITH {IM} SELECT technician_id, customer_id, string_agg(checkin_date || '|' || original_filename || '|' || (50 + c50) || '|13', ',' ORDER BY checkin_date, original_filename) AS images FROM r WHERE kind = 0 AND checkin_date BETWEEN '19950101' AND '19961231' GROUP BY ALL",
+    "overlay_box_parse": f"WITH {IM} SELECT id, 13 AS x1, 34 AS y1, 119 AS x2, 59 AS y2, json_extract(ai_metadata_json, '$.datetime[0].confidence')::DOUBLE AS confidence FROM (SELECT * FROM im WHERE kind = 0)",
     "overlay_scan_counts": f"WITH {IM} SELECT count(*) FILTER (kind IN (0, 1)) AS scanned, count(*) FILTER (kind = 0) AS with_box, count(*) FILTER (ai_metadata_json LIKE '%model%') AS with_model, count(*) AS n FROM im",
     "archive_catalogue": f"WITH {IM}, c AS (SELECT DISTINCT source_archive_date, {_ROOT} AS c FROM im) SELECT i.source_archive_date, i.n AS image_count, x.cs AS categories FROM (SELECT source_archive_date, count(*) AS n FROM im GROUP BY 1) i JOIN (SELECT source_archive_date, string_agg(c, ',' ORDER BY c <> '__date_root__', lower(c)) AS cs FROM c GROUP BY 1) x USING (source_archive_date)",
     "archive_status": f"""WITH {IM}, f AS (SELECT source_archive_date, count(*) AS image_count FROM im GROUP BY 1), c AS (SELECT source_archive_date, count(*) AS i, count(*) FILTER (analysis_status IN ('COMPLETED', 'UNVERIFIABLE')) AS d FROM im WHERE id NOT LIKE '%3' GROUP BY 1)

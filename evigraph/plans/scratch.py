@@ -14,11 +14,13 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where it is unset (local tests), a new temporary one is set."""
+    """The folder named in ``spark.checkpoint.dir``; where it is unset, a new temporary one is set in local mode; on a cluster that is an error."""
     found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not found:
         if (old := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
             return old.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="evigraph-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()

@@ -126,7 +126,8 @@ def hamming_cosine_conjunction(s, d):
 @query
 def candidate_union_sources(s, d):
     top = _topk(s, d).where((F.col("query") != F.col("match")) & (F.col("sim") >= COSINE)).select(F.least("query", "match").alias("a"), F.greatest("query", "match").alias("b"), "sim").groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    same = C.exact_duplicates(V.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.sha2(F.encode(F.col("label").cast("string"), "UTF-8"), 256).alias("sha256"))).where("b - a <= 40").withColumn("sim", F.lit(1.0))
+    classes = C.duplicate_classes(V.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.sha2(F.encode(F.col("label").cast("string"), "UTF-8"), 256).alias("sha256")))
+    same = classes.where("id <> representative").select(F.col("representative").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"))
     out = C.union_sources(("vector", 0, top), ("phash", 1, _conjunction(s, d).select("a", "b", "sim")), ("sha256", 3, same))
     return out.select("a", "b", text("sources").alias("sources"), (F.floor(F.col("sim") * 1e6 + 0.5) / 1e6).alias("sim"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions.metadata import IMAGE_TYPES
 
+# fixed value: the category of files at a date's root
 ROOT = "__date_root__"
 
 

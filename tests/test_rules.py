@@ -21,37 +21,37 @@ def items(spark, rows):
 
 
 def test_filenames(spark):
-    names = ["new_20260813_home_8884162504_2023020302_D_20260813013917_2.jpeg", "new_20260825_splitter_8807045814_anything_1.jpeg", "x_other_8884162504_1.jpg", "new_20260813_home_12345_1.jpeg", "ordinary-image.jpeg", "MA-Splice_20261001_upload.jpg", "a/b/ma-new_NULL_home_8884162504.jpg"]
+    names = ["new_20250417_home_7301946582_TX9_Q_20250417101112_4.jpeg", "new_20250602_splitter_6612093847_any-one_1.jpeg", "x_other_7301946582_1.jpg", "new_20250417_home_77_1.jpeg", "plain.jpeg", "MA-Splice_20251120_upload.jpg", "a/b/ma-new_NULL_home_7301946582.jpg"]
     df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
     n = F.col("n")
     rows = df.select("i", M.customer(n), M.checkin_date(n), M.job_type(n), M.technician(n)).orderBy("i").collect()
-    assert [tuple(r[1:]) for r in rows] == [("8884162504", "20260813", "new", "2023020302"), ("8807045814", "20260825", "new", "anything"), (None, None, None, None), (None, None, "new", None), (None, None, None, None), (None, None, "ma-splice", None), ("8884162504", None, "ma-new", None)]
+    assert [tuple(r[1:]) for r in rows] == [("7301946582", "20250417", "new", "TX9"), ("6612093847", "20250602", "new", "any-one"), (None, None, None, None), (None, None, "new", None), (None, None, None, None), (None, None, "ma-splice", None), ("7301946582", None, "ma-new", None)]
 
 
 def test_resolution_prefers_stored_values(spark):
-    name = "ma-new_20261001_home_8884162504_TECH-A_1.jpeg"
-    rows = G.resolved_items(items(spark, [("1", name, "persisted", None, None, None, None), ("2", name, "", "", "", None, None)])).orderBy("id").collect()
-    assert [(r.customer_id, r.checkin_date, r.technician_id, r.job_type) for r in rows] == [("persisted", "20261001", "TECH-A", "ma-new"), ("8884162504", "20261001", "TECH-A", "ma-new")]
+    name = "ma-new_20251120_home_7301946582_K7_1.jpeg"
+    rows = G.resolved_items(items(spark, [("1", name, "stored-1", None, None, None, None), ("2", name, "", "", "", None, None)])).orderBy("id").collect()
+    assert [(r.customer_id, r.checkin_date, r.technician_id, r.job_type) for r in rows] == [("stored-1", "20251120", "K7", "ma-new"), ("7301946582", "20251120", "K7", "ma-new")]
 
 
 def test_boxes_and_scans(spark):
-    box = {"bbox": [10.2, 20, 100, 50], "confidence": 0.97}
+    box = {"bbox": [12.6, 34.3, 118.7, 59], "confidence": 0.97}
     bad = [{"bbox": [5, 5, 5, 9], "confidence": 1}, {"bbox": [1, 2, 3], "confidence": 1}, {"bbox": [1, 2, 3, 4]}]
     base = {"model": "lat-long/v1", "metadata_version": 2, "lat_long": []}
     metas = [json.dumps({**base, "datetime": [box, *bad]}), json.dumps({**base, "datetime": []}), "not-json", json.dumps({"model": "lat-long/v1", "lat_long": [], "datetime": []}), None, json.dumps({**base, "datetime": None}), json.dumps({**base, "datetime": [], "error": "x"}), json.dumps({**base, "datetime": [{"bbox": [0.5, 1.5, 2.5, 3.5], "confidence": 0.1}]})]
     df = spark.createDataFrame([(i, m) for i, m in enumerate(metas)], "i int, m string")
     rows = df.select("i", M.boxes(F.col("m"), "datetime").alias("b"), M.scanned(F.col("m")).alias("s")).orderBy("i").collect()
-    assert [tuple(map(tuple, r.b)) for r in rows] == [((10, 20, 100, 50, 0.97),), (), (), (), (), (), (), ((0, 2, 2, 4, 0.1),)]
+    assert [tuple(map(tuple, r.b)) for r in rows] == [((13, 34, 119, 59, 0.97),), (), (), (), (), (), (), ((0, 2, 2, 4, 0.1),)]
     assert [r.s for r in rows] == [True, True, False, False, False, False, False, True]
 
 
 def test_dates_ranges_and_progress(spark):
-    df = spark.createDataFrame([("20261001",), (None,), ("20261006",)], "d string")
+    df = spark.createDataFrame([("20251120",), (None,), ("20251125",)], "d string")
     d = F.col("d")
-    rows = df.select(M.in_range(d, None, None), M.in_range(d, "20261001", None), M.in_range(d, None, "20261001"), M.not_after(d, "20261001"), M.day_month_year(d)).collect()
-    assert [tuple(r) for r in rows] == [(True, True, True, True, "01/10/2026"), (True, False, False, True, None), (True, True, False, False, "06/10/2026")]
-    p = spark.createDataFrame([(5000, 2332, 2643), (5000, 2600, 2400), (5000, 5100, 5000), (0, 3, 1)], "t int, p int, c int")
-    assert [r[0] for r in p.select(R.progress(F.col("t"), F.col("p"), F.col("c"))).collect()] == [2643, 2600, 5000, 3]
+    rows = df.select(M.in_range(d, None, None), M.in_range(d, "20251120", None), M.in_range(d, None, "20251120"), M.not_after(d, "20251120"), M.day_month_year(d)).collect()
+    assert [tuple(r) for r in rows] == [(True, True, True, True, "20/11/2025"), (True, False, False, True, None), (True, True, False, False, "25/11/2025")]
+    p = spark.createDataFrame([(80, 31, 44), (80, 52, 17), (80, 93, 71), (0, 3, 1)], "t int, p int, c int")
+    assert [r[0] for r in p.select(R.progress(F.col("t"), F.col("p"), F.col("c"))).collect()] == [44, 52, 80, 3]
 
 
 EMPTY = {"exact_duplicate": False, "detected_transform": "original", "flip_detected": False, "rotation_degrees": 0, "ransac_inliers": 0, "ransac_inlier_ratio": 0.0, "sift_good_matches": 0, "sift_reference_features": 0, "embedding_similarity": None, "phash_distance": None, "phash_max_distance": 64, **dict.fromkeys((*"scene_change_suspected repeated_checkin_suspected recapture_suspected blurred_crop_suspected same_location_suspected similar_person_only body_reuse_gate body_reuse_suspected foreground_source_reuse heatmap_scene_change_support whole_image_fallback_used".split(),), False)}
@@ -108,21 +108,23 @@ def grouped(df):
 
 
 def test_groups_and_customer_merge(spark):
-    own = items(spark, [(i, "unknown.jpg", job, "20261001", None, None, None) for i, job in zip("abcde", ("C1", "C2", "C3", "C1", "C4"))])
-    pr = pairs(spark, [("a", "b", "same_image", 0.9), ("b", "c", "edited_or_cropped", 0.9), ("d", "e", "exact_file", 0.9), ("c", "d", "similar_person", 0.9), ("c", "d", "same_image", 0.1)])
+    jobs = {"p": "K1", "q": "K2", "r": "K2", "s": "K3", "t": "K3", "u": "K4", "v": "K5", "w": "K1"}
+    own = items(spark, [(i, "n.jpg", job, "20251120", None, None, None) for i, job in jobs.items()])
+    pr = pairs(spark, [("p", "q", "exact_file", 0.7), ("r", "s", "same_image", 0.8), ("t", "u", "edited_or_cropped", 0.6), ("u", "v", "same_scene_new_capture", 1.0), ("v", "w", "same_image", 0.3)])
     groups = G.reportable_groups(own, pr, 0.5)
-    assert grouped(groups) == [["a", "b", "c"], ["d", "e"]]
-    assert grouped(G.merged_by_customer(groups, own)) == [["a", "b", "c", "d", "e"]]
+    assert grouped(groups) == [["p", "q"], ["r", "s"], ["t", "u"]]
+    # K2 joins the first two, K3 the last two
+    assert grouped(G.merged_by_customer(groups, own)) == [["p", "q", "r", "s", "t", "u"]]
     detail = {r.group_id: r for r in G.detail(groups, own, G.qualified(pr, own, G.REPORTABLE, 0.5)).collect()}
-    assert (detail["a"].size, detail["a"].relationship_count, detail["d"].customers) == (3, 2, ["C1", "C4"])
+    assert (detail["p"].size, detail["p"].relationship_count, detail["r"].customers) == (2, 1, ["K2", "K3"])
     assert G.reportable_groups(own, pr.limit(0), 0.5).count() == 0
 
 
-def test_as_of_groups_have_no_bridge_from_the_future(spark):
-    own = items(spark, [(i, "unknown.jpg", i, d, None, None, None) for i, d in (("anchor", "20261001"), ("past", "20260813"), ("future", "20261006"), ("x", "20260920"))])
-    pr = pairs(spark, [("anchor", "past", "exact_file", 1.0), ("anchor", "future", "exact_file", 1.0), ("future", "x", "exact_file", 1.0)])
-    assert grouped(G.as_of_groups(own, pr, 0.5, "20261001")) == [["anchor", "past"]]
-    assert grouped(G.as_of_groups(own, pr, 0.5, None)) == [["anchor", "future", "past", "x"]]
+def test_later_items_do_not_bridge(spark):
+    own = items(spark, [(f"i{k}", "n.jpg", f"K{k}", d, None, None, None) for k, d in enumerate(("20250101", "20250105", "20250301", None, "20250102"))])
+    pr = pairs(spark, [("i0", "i2", "same_image", 0.9), ("i1", "i2", "same_image", 0.9), ("i3", "i4", "same_image", 0.9)])
+    assert grouped(G.as_of_groups(own, pr, 0.5, "20250131")) == [["i3", "i4"]]
+    assert grouped(G.as_of_groups(own, pr, 0.5, None)) == [["i0", "i1", "i2"], ["i3", "i4"]]
 
 
 def test_unusable_items_leave(spark):
