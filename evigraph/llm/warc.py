@@ -2,7 +2,8 @@
 
 Writing: pages are dealt to archives by a hash of page_id, and each task writes its pages in order of page_id as gzip members of
 ``part-<k>.warc.gz``, in the folder given, by the file system of its URI. The rows it returns are the index: file, offset, length, URL
-and digest of each record. A task that runs again writes the same bytes under the same name. Payloads that are equal and have
+and digest of each record. A task writes under a name of its own attempt and renames the file when it is whole, so that attempts that
+run again or side by side leave one file with the same bytes. Payloads that are equal and have
 ``LEAST_SHARED`` bytes or more are stored once; the other pages revisit the record with the smallest page_id.
 
 Reading: index rows are sorted by file and offset and dealt in runs of a file, and records that lie within ``GAP`` bytes of one
@@ -21,27 +22,31 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigraph.plans.scratch import materialize, new_path
+from evigraph.plans.scratch import materialize, new_path, small_side
 
 LEAST_SHARED = 100
 GAP = 4096
 MOST_READ = 8 << 20
+#: Bytes of an archive that a task reads; more where a table would else have over MAX_RUNS tasks.
+RUN_BYTES, MAX_RUNS = 4 << 20, 100_000
+MAX_SHARED = 1 << 18
 PAGES_PER_ARCHIVE = 2000
 DATE = "2000-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("8c9f0b52-6a5b-5d0c-9b1e-3f9d3f4a7c11")
 
 
-def _uri(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, str(page_id))}>"
+def _uri(page_id: int | None, digest: str, again: int = 0) -> str:
+    """Of the record of a page and payload; ``again`` tells rows apart that share both."""
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id} {digest} {again}')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, again: int = 0) -> bytes:
     """One gzip member."""
     block = b"" if revisit else payload
     clean = "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url or "")
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_uri(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {clean}", f"WARC-Payload-Digest: sha256:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_uri(page_id, digest, again)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {clean}", f"WARC-Payload-Digest: sha256:{digest}"]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_uri(refers_to)}", f"X-Refers-To-Page: {'' if refers_to is None else refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_uri(refers_to, digest)}", f"X-Refers-To-Page: {'' if refers_to is None else refers_to}"]
     head += [f"X-Page: {'' if page_id is None else page_id}", f"X-Payload-Length: {len(payload)}", "Content-Type: text/html", f"Content-Length: {len(block)}"]
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
 
@@ -72,36 +77,55 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     ids = keyed.where(F.col("n") >= LEAST_SHARED).select("digest", F.struct(F.col("page_id").isNull().alias("none"), "page_id").alias("id"))
     groups = ids.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("k")).where("k > 1")
     shared = materialize(groups.select(F.col("digest").alias("shared"), F.col("first.page_id").alias("first"), F.lit(True).alias("grouped")), "shared")
-    found = keyed.join(shared, (F.col("digest") == F.col("shared")) & (F.col("n") >= LEAST_SHARED), "left")
+    # payloads move once, to their archive, while the digests that several pages share are few enough to be broadcast
+    found = keyed.join(small_side(shared, MAX_SHARED), (F.col("digest") == F.col("shared")) & (F.col("n") >= LEAST_SHARED), "left")
     number = max(1, -(-pages.count() // PAGES_PER_ARCHIVE))
     rows = found.select("page_id", "url", "html", "digest", "first", F.coalesce("grouped", F.lit(False)).alias("grouped"), F.pmod(F.xxhash64("page_id", "digest"), F.lit(number)).cast("int").alias("archive"))
     placed = rows.repartition(number, "archive").sortWithinPartitions("archive", F.col("page_id").asc_nulls_last(), "digest", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, at, offset, last = None, None, 0, None
+        out, at, offset, last, again = None, None, 0, None, 0
+
+        def finish():
+            out.close()
+            try:
+                system.move(f"{path}/{own}", f"{path}/{name}")
+            except OSError:
+                # another attempt was first; some file systems do not rename onto a file
+                if system.get_file_info(f"{path}/{name}").type != fs.FileType.File:
+                    raise
+                system.delete_file(f"{path}/{own}")
+
+        whole = False
         try:
             for batch in batches:
                 index = []
                 for page_id, url, html, digest, first, grouped, archive in zip(*(c.to_pylist() for c in batch.columns)):
                     if archive != at:
                         if out is not None:
-                            out.close()
+                            finish()
                         at, offset, last = archive, 0, None
                         system, path = fs.FileSystem.from_uri(folder)
                         system.create_dir(path, recursive=True)
                         name = f"part-{archive:06d}.warc.gz"
-                        out = system.open_output_stream(f"{path}/{name}", compression=None)
+                        own = f".{name}.{uuid.uuid4().hex}"
+                        out = system.open_output_stream(f"{path}/{own}", compression=None)
                     revisit = grouped and (page_id != first or (page_id, digest) == last)
+                    again = again + 1 if (page_id, digest) == last else 0
                     last = (page_id, digest)
-                    data = record(page_id, url, html.encode("utf-8", "surrogatepass"), digest, first, revisit)
+                    data = record(page_id, url, html.encode("utf-8", "surrogatepass"), digest, first, revisit, again)
                     out.write(data)
                     index.append((page_id, name, offset, len(data), url, digest, "revisit" if revisit else "response"))
                     offset += len(data)
                 if index:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*index), TYPES)], NAMES)
+            whole = True
         finally:
-            if out is not None:
+            if out is not None and whole:
+                finish()
+            elif out is not None:
                 out.close()
+                system.delete_file(f"{path}/{own}")
 
     return materialize(placed.mapInArrow(run, "page_id long, file string, offset long, length long, url string, digest string, record_type string"), "index")
 
@@ -129,8 +153,11 @@ def read(index: DataFrame, folder: str) -> DataFrame:
     """
     chosen = index.select("file", "offset", "length")
     width = Window.partitionBy("file").orderBy("offset")
-    runs = chosen.withColumn("run", F.floor(F.sum("length").over(width) / (8 * MOST_READ)))
-    dealt = runs.repartition("file", "run").sortWithinPartitions("file", "offset")
+    total = chosen.agg(F.sum("length")).first()[0] or 0
+    size = max(RUN_BYTES, total // MAX_RUNS)
+    runs = chosen.withColumn("run", F.floor(F.sum("length").over(width) / size))
+    # the index is small, the archives are not: the number of tasks follows the bytes that they read
+    dealt = runs.repartition(1 + total // size, "file", "run").sortWithinPartitions("file", "offset")
 
     def records(file: str, spans: list[tuple[int, int]]) -> Iterator[tuple]:
         system, path = fs.FileSystem.from_uri(folder)

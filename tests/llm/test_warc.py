@@ -49,3 +49,17 @@ def test_round_trip_and_index(spark, tmp_path, monkeypatch):
 
 def test_ranges():
     assert A.ranges([(0, 10), (12, 5), (5000, 10), (5010, 90)], gap=4, most=60) == [(0, 2, 0, 17), (2, 3, 5000, 5010), (3, 4, 5010, 5100)]
+
+
+def test_attempts_leave_one_file_and_reading_follows_bytes(spark, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr(A, "PAGES_PER_ARCHIVE", 40)
+    monkeypatch.setattr(A, "RUN_BYTES", 1 << 10)
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" * 30) for i in range(200)] + [(7, "http://h/7", "<p>7</p>" * 30)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    first = sorted(map(tuple, A.write(pages, folder).collect()), key=str)
+    assert sorted(map(tuple, (index := A.write(pages, folder)).collect()), key=str) == first
+    assert all(f.startswith("part-") for f in os.listdir(tmp_path / "w"))
+    assert A.read(index, folder).rdd.getNumPartitions() > 4
+    assert sorted(r.page_id for r in A.read(index, folder).collect()) == sorted([*range(200), 7])
