@@ -8,6 +8,7 @@ cut into windows of 2u shingles that begin every u shingles, so that an item's p
 share t of an item has a Jaccard similarity with it of at least ``t q / (2 u + (1 - t) q)``, thus above ``t / (5 - t)``: the length
 of the documents no longer matters. With one row to a band a window and an item collide in one of b bands with probability
 ``1 - (1 - J) ** b``; b is the least for which that is ``RECALL`` at the threshold (for a whole passage it is 1 - 1e-6).
+Items of one shingle are held whole or not at all and are looked up as they are.
 Windows' minima come from minima over blocks, so that each hash costs one product and one pass.
 
 Items are handled in blocks of ``MAX_ITEMS`` or ``MAX_BYTES`` that are broadcast, and each block is one pass over the documents; no row
@@ -56,11 +57,20 @@ class Items:
     threshold: float
     #: By class: for each band a filter over the top 16 bits of a minimum, the sorted minima and the items that have them.
     classes: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = field(default_factory=dict)
+    #: The same for the shingles of items that have one.
+    single: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def index(self, multipliers: np.ndarray) -> Items:
         by_class: dict[int, list[int]] = {}
         for i, s in enumerate(self.sets):
             by_class.setdefault(size_class(len(s)), []).append(i)
+        if 1 in by_class:
+            own = np.array(by_class.pop(1))
+            own = own[np.argsort([self.sets[i][0] for i in own], kind="stable")]
+            least = np.array([self.sets[i][0] for i in own], W.U)
+            top = np.zeros(1 << 16, bool)
+            top[least >> W.U(48)] = True
+            self.single = (top, least, own)
         for u, own in by_class.items():
             self.classes[u] = []
             for a in multipliers:
@@ -91,6 +101,15 @@ def _levels(before: np.ndarray, least: int, most: int) -> list[tuple[int, np.nda
 
 def _search(shingles: np.ndarray, before: np.ndarray, items: Items, multipliers: np.ndarray) -> set[tuple[int, int]]:
     found: set[tuple[int, int]] = set()
+    if items.single is not None:
+        top, least, who = items.single
+        at = np.flatnonzero(top[shingles >> W.U(48)])
+        low, high = np.searchsorted(least, shingles[at]), np.searchsorted(least, shingles[at], side="right")
+        for j in np.flatnonzero(high > low):
+            doc = int(np.searchsorted(before, at[j], side="right")) - 1
+            found.update((doc, int(i)) for i in who[low[j] : high[j]])
+    if not items.classes:
+        return found
     levels = _levels(before, min(items.classes), max(items.classes))
     for k, a in enumerate(multipliers):
         below = shingles * a

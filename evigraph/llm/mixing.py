@@ -120,12 +120,13 @@ def pieces(docs: DataFrame, block: int = BLOCK, seed: str = SEED) -> DataFrame:
 
 
 def mix(docs: DataFrame, block: int = BLOCK, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken): a row for each row of ``docs`` (doc_id, text, source).
+    """(doc_id, source, size, source_size, target, taken, first_slot, n_pieces): a row for each row of ``docs`` (doc_id, text, source).
 
+    The words taken are those of the row's ``n_pieces`` pieces in the schedule, the first in ``first_slot`` (null: none).
     A null or blank text has size 0 and is never taken; a null source is one source, last in the order; a null doc_id takes its place by
     the hash of the empty text. Documents with equal ids and sizes may exchange their places. The result depends on the rows only,
     not on their order or partitions. No words at all give targets of 0. Extra columns are not read.
     """
     parts = pieces(docs, block, seed)
-    summed = parts.groupBy("sid", "bucket", "rn").agg(*[F.first(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target")], F.coalesce(F.sum(F.col("last") - F.col("first")), F.lit(0)).alias("taken"))
-    return summed.select("doc_id", "source", "size", "source_size", "target", "taken")
+    summed = parts.groupBy("sid", "bucket", "rn").agg(*[F.first(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target")], F.coalesce(F.sum(F.col("last") - F.col("first")), F.lit(0)).alias("taken"), F.min("slot").alias("first_slot"), F.count("slot").alias("n_pieces"))
+    return summed.select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot", "n_pieces")

@@ -92,19 +92,34 @@ w AS (SELECT *, (sid - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM z),
 f AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
       FROM w WINDOW o AS (ORDER BY cap / weight, sid)),
 g AS (SELECT *, level <= cap / weight AS free FROM f),
-t AS (SELECT source, source_size, CASE WHEN free THEN weight * (SELECT level FROM g WHERE free ORDER BY cap / weight, sid LIMIT 1) ELSE cap END::DOUBLE AS target FROM g),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS stop,
+t AS (SELECT source, source_size, sid, CASE WHEN free THEN weight * (SELECT level FROM g WHERE free ORDER BY cap / weight, sid LIMIT 1) ELSE cap END::DOUBLE AS target FROM g),
+p AS (SELECT d.doc_id, d.size, t.sid, t.source_size, t.target, floor(t.target)::BIGINT AS stop,
       coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (greatest(least(a + size, stop) - a, 0) + greatest(least(a + size, stop - source_size) - a, 0) + greatest(least(a + size, stop - 2 * source_size) - a, 0))::BIGINT AS taken FROM p""",
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+n AS (SELECT sid, t.target, ceil(floor(t.target) / {mixing.BLOCK})::BIGINT AS need FROM t),
+q AS (SELECT *, floor(sum(target) OVER (ORDER BY sid) / (SELECT sum(target) FROM n) * {1 << mixing.UNIT_BITS})::BIGINT AS upto, row_number() OVER (ORDER BY sid DESC) AS back FROM n),
+b AS (SELECT sid, need, coalesce(lag(CASE back WHEN 1 THEN {1 << mixing.UNIT_BITS} ELSE upto END) OVER (ORDER BY sid), 0) AS begin, CASE back WHEN 1 THEN {1 << mixing.UNIT_BITS} ELSE upto END AS stop FROM q),
+u AS (SELECT slot, (slot::HUGEINT * {mixing.STEP} % {1 << mixing.UNIT_BITS})::BIGINT AS u FROM (SELECT unnest(range(coalesce((SELECT sum(need) FROM n), 0)::BIGINT)) AS slot)),
+k AS (SELECT slot, sid, need, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank FROM u JOIN b ON u.u >= b.begin AND u.u < b.stop WHERE need > 0),
+o AS (SELECT n.sid, n.need, coalesce(c, 0) AS got FROM n LEFT JOIN (SELECT sid, count(*) AS c FROM k GROUP BY sid) x ON x.sid = n.sid),
+e AS (SELECT *, coalesce(sum(greatest(need - got, 0)) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior, sum(need) OVER () AS m FROM o),
+l AS (SELECT slot, sid, rank FROM k WHERE rank < need UNION ALL SELECT (m + prior - got + rank)::BIGINT, sid, rank FROM e, LATERAL (SELECT unnest(range(got, need)) AS rank)),
+y AS (SELECT p.*, row_number() OVER () AS rn FROM p),
+h AS (SELECT rn, y.sid, a + j * source_size AS x, least(a + j * source_size + size, stop) AS z FROM y, (VALUES (0), (1), (2)) v(j)),
+r AS (SELECT rn, sid, z - x AS words, x // {mixing.BLOCK} AS lo, (z - 1) // {mixing.BLOCK} AS hi FROM h WHERE z > x),
+v AS (SELECT rn, min(slot) AS first_slot, count(*) AS n_pieces FROM (SELECT rn, sid, unnest(range(lo, hi + 1)) AS rank FROM r) JOIN l USING (sid, rank) GROUP BY rn)
+SELECT doc_id, size, source_size, target, (greatest(least(a + size, stop) - a, 0) + greatest(least(a + size, stop - source_size) - a, 0) + greatest(least(a + size, stop - 2 * source_size) - a, 0))::BIGINT AS taken,
+  first_slot, coalesce(n_pieces, 0) AS n_pieces FROM y LEFT JOIN v USING (rn)""",
     "op5_license_scan": f"""
 WITH t(template, text) AS (VALUES {_VALUES}),
 tw AS (SELECT template, {PLAIN} AS w FROM t),
-ts AS (SELECT DISTINCT template, {RUN.format(k=5)} AS s FROM tw, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i)),
+tk AS (SELECT template, w, least(5, len(w)) AS k FROM tw WHERE len(w) > 0),
+ts AS (SELECT DISTINCT template, k, {RUN.format(k="k")} AS s FROM tk, LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)),
 tn AS (SELECT template, count(*) AS n_shingles FROM ts GROUP BY template),
 d AS (SELECT doc_id, {PLAIN} AS w FROM documents),
-ds AS (SELECT DISTINCT doc_id, {RUN.format(k=5)} AS s FROM d, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i)),
-m AS (SELECT doc_id, template, count(*) AS n_shared FROM ds JOIN ts USING (s) GROUP BY ALL)
+ks AS (SELECT DISTINCT k FROM tk),
+ds AS (SELECT DISTINCT doc_id, k, {RUN.format(k="k")} AS s FROM d, ks, LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)),
+m AS (SELECT doc_id, template, count(*) AS n_shared FROM ds JOIN ts USING (k, s) GROUP BY ALL)
 SELECT doc_id, split_part(template, '/', 1) AS license, template, n_shared, n_shingles FROM m JOIN tn USING (template) WHERE n_shared >= 0.75 * n_shingles""",
     "op6_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
