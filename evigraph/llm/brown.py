@@ -2,20 +2,24 @@
 
 Each word has one class; a text's probability is the product over its tokens (its words, A-Z as a-z, then one end) of
 ``p(class | two classes before) * p(word | class)``. The most frequent ``EXCHANGED`` words get their classes by exchange clustering:
-words move to the class that most raises the likelihood of the class bigrams, half of the words at a time. All other words belong to
-fixed classes by shape and ending, as do unseen ones; the end has a class of its own. Class trigrams back off linearly to bigrams
-and unigrams; emissions are relative frequencies, in the fixed classes with 1/2 added, where all unseen words of a class are one.
-
-Work at scale: counts of words, of word pairs and of class trigrams are sums over partitions. Word pairs are kept for exchanged
-words and fixed classes, so at most ``(EXCHANGED + fixed) ** 2``; an exchange step is one pass over them, without a shuffle, and
-brings the driver one row for each exchanged word. The ``DICTIONARY`` most frequent words and the trigrams (``CLASSES ** 3``) are
-broadcast; the counts of all rarer words are joined by a shuffle, in which no word is frequent. Words are 64-bit hashes.
+words move to the class that most raises the likelihood of the class bigrams, half of the words at a time. Every other word that
+training holds ``LEAST`` times then goes to the one class of as many further ones that its own neighbours make likeliest, by the same
+likelihood to first order, as such a word weighs little in a class. Only words found once and unseen ones are left to fixed classes,
+by shape and ending; the end has a class of its own. Class trigrams back off linearly to bigrams and unigrams; emissions are relative
+frequencies, in the fixed classes with 1/2 added, where all unseen words of a class are one.
+
+Work at scale: counts of words, of word pairs, of neighbours and of class trigrams are sums over partitions. Word pairs are kept for
+exchanged words and fixed classes, so at most ``(EXCHANGED + fixed) ** 2``; an exchange step is one pass over them, without a shuffle,
+and brings the driver one row for each exchanged word. A further word's neighbours are counted by class, at most ``2 * CLASSES`` numbers
+a word, and all further words are assigned in the tasks. The ``DICTIONARY`` most frequent words and the trigrams (``ALL ** 3``) are
+broadcast; counts and classes of all rarer words are joined by a shuffle, in which no word is frequent, and put into the texts' rows of
+classes (a byte a token). Words are 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +27,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm import words as W
-from evigraph.plans.scratch import materialize
+from evigraph.plans.scratch import drop, materialize
 
 EXCHANGED = 8192
 DICTIONARY = 1 << 18
 FREE = 63
 SHAPES, ENDINGS = 4, 8
 FIXED = SHAPES * ENDINGS
-#: Class 0 is the end's; then come the fixed ones, then the free ones.
+#: Class 0 is the end's; then come the fixed ones, then the free ones of exchanged words.
 CLASSES = 1 + FIXED + FREE
+#: Then the classes of further words, one beside each free one.
+ALL = CLASSES + FREE
+LEAST = 2
 END = np.int64(1)
 SWEEPS = 12
 PARTS = 48
@@ -188,10 +195,15 @@ def best_move(pairs: np.ndarray, own: int, after: np.ndarray, before: np.ndarray
 
 def exchange(pairs: DataFrame, n_words: int, sweeps: int = SWEEPS) -> np.ndarray:
     """The class of each unit of ``pairs`` (a, b, n): the first ``n_words`` units are words, the others have fixed classes."""
+    return _exchanged(pairs, n_words, sweeps)[0]
+
+
+def _exchanged(pairs: DataFrame, n_words: int, sweeps: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each unit, and the counts of class bigrams."""
     fixed_classes = np.arange(1 + FIXED)
     classes = np.concatenate([1 + FIXED + np.arange(n_words) % FREE, fixed_classes])
     if not n_words:
-        return classes
+        return classes, np.zeros((CLASSES, CLASSES))
     spark = pairs.sparkSession
     after = pairs.groupBy("a").agg(F.collect_list("b").alias("ids"), F.collect_list("n").alias("ns")).select(F.col("a").alias("unit"), F.lit(0).alias("side"), "ids", "ns")
     before = pairs.groupBy("b").agg(F.collect_list("a").alias("ids"), F.collect_list("n").alias("ns")).select(F.col("b").alias("unit"), F.lit(1).alias("side"), "ids", "ns")
@@ -254,7 +266,65 @@ def exchange(pairs: DataFrame, n_words: int, sweeps: int = SWEEPS) -> np.ndarray
         low = 0 if take else low + 1
         if low == 2:
             break
-    return classes
+    drop(table)
+    return classes, matrix
+
+
+def _neighbours(docs: DataFrame, lead: np.ndarray, classes: np.ndarray) -> DataFrame:
+    """(word, code, n) of all words but the exchanged ones: code is the class that follows, or CLASSES and the class before."""
+    shared = docs.sparkSession.sparkContext.broadcast((lead, np.append(classes, 0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Lookup(shared.value[0])
+        held, size = [], 0
+
+        def counted():
+            words, at = np.unique(np.concatenate([a for a, _ in held]), return_inverse=True)
+            code, n = np.unique(at * 2 * CLASSES + np.concatenate([b for _, b in held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(words[code // (2 * CLASSES)]), pa.array((code % (2 * CLASSES)).astype(np.int32)), pa.array(n)], ["word", "code", "n"])
+
+        for batch in batches:
+            for chunk in W.chunks(batch):
+                h, fixed, starts = tokens(chunk.column(0))
+                at = find(h)
+                c = np.where(at >= 0, shared.value[1][at], fixed)
+                _, before = _contexts(c, starts)
+                after = np.zeros_like(c)
+                after[:-1] = c[1:]
+                own = np.flatnonzero((at < 0) & (h != END))
+                held += [(h[own], after[own]), (h[own], before[own] + CLASSES)]
+                size += 2 * len(own)
+                if size >= FLUSH:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
+
+    return docs.select("text").mapInArrow(run, "word long, code int, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
+
+
+def affinities(pairs: np.ndarray) -> np.ndarray:
+    """What each neighbour (2 * CLASSES, as in ``_neighbours``) adds to the log likelihood of each free class, from class bigrams."""
+    rows, columns = np.log(pairs.sum(1) + 0.5 * CLASSES), np.log(pairs.sum(0) + 0.5 * CLASSES)
+    logs = np.log(pairs + 0.5)
+    return np.concatenate([(logs - rows[:, None]).T, logs - columns[None]])[:, 1 + FIXED :]
+
+
+def assign(neighbours: DataFrame, pairs: np.ndarray) -> DataFrame:
+    """(word, class) of each word of ``neighbours`` (word, code, n) found ``LEAST`` times: the likeliest class for its neighbours."""
+    shared = neighbours.sparkSession.sparkContext.broadcast(affinities(pairs))
+    words = neighbours.groupBy("word").agg(F.sum(F.when(F.col("code") < CLASSES, F.col("n"))).alias("total"), F.collect_list("code").alias("codes"), F.collect_list("n").alias("ns"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, ns = batch.column(1), batch.column(2)
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(codes.value_lengths()))
+            dense = np.zeros((batch.num_rows, 2 * CLASSES))
+            dense[row, np.asarray(codes.flatten())] = np.asarray(ns.flatten())
+            best = np.round(dense @ shared.value, 6).argmax(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((CLASSES + best).astype(np.int32))], ["word", "class"])
+
+    return words.where(F.col("total") >= LEAST).select("word", "codes", "ns").mapInArrow(run, "word long, class int")
 
 
 @dataclass(frozen=True)
@@ -264,14 +334,25 @@ class ClassModel:
     counts: np.ndarray
     classes: np.ndarray
     #: log10 p(c | a, b) at [a, b, c].
-    transitions: np.ndarray
+    transitions: np.ndarray | None
     class_tokens: np.ndarray
-    #: Distinct words of each fixed class that were not exchanged.
+    #: Distinct words of each class that were not exchanged.
     class_words: np.ndarray
     n_tokens: int
     n_words: int
     exchanged: int
 
+    @property
+    def half(self) -> np.ndarray:
+        """What is added to a word's count, by class."""
+        c = np.arange(ALL)
+        return np.where((c > 0) & (c <= FIXED), 0.5, 0.0)
+
+    @property
+    def floors(self) -> np.ndarray:
+        """What a word's count is divided by, by class."""
+        return np.maximum(self.class_tokens + self.half * (self.class_words + 1), 0.5)
+
 
 def transition_table(counts: np.ndarray, backoff: float = BACKOFF) -> np.ndarray:
     """log10 p(c | a, b), linearly backed off, from counts at [a, b, c]; each row of probabilities sums to 1."""
@@ -283,116 +364,157 @@ def transition_table(counts: np.ndarray, backoff: float = BACKOFF) -> np.ndarray
     return np.log10(p3).astype(np.float32)
 
 
-def _class_trigrams(docs: DataFrame, words: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    shared = docs.sparkSession.sparkContext.broadcast((words, classes))
-
+def _class_trigrams(encoded: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Lookup(shared.value[0])
-        total = np.zeros(CLASSES**3, np.int64)
+        total = np.zeros(ALL**3, np.int64)
         for batch in batches:
-            for chunk in W.chunks(batch):
-                h, fixed, starts = tokens(chunk.column(0))
-                a, b, c = _contexts(find(h), fixed, starts, shared.value[1])
-                total += np.bincount((a * CLASSES + b) * CLASSES + c, minlength=CLASSES**3)
+            for chunk in W.chunks(batch, "classes", 4 * W.CHUNK_BYTES):
+                c, starts = _classes(chunk)
+                a, b = _contexts(c, starts)
+                total += np.bincount((a * ALL + b) * ALL + c, minlength=ALL**3)
         code = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(total[code])], ["code", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(CLASSES**3)
+    rows = encoded.select("classes", "places", "kinds").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(ALL**3)
     total[rows.column("code").to_numpy()] = rows.column("n").to_numpy()
-    return total.reshape(CLASSES, CLASSES, CLASSES)
+    return total.reshape(ALL, ALL, ALL)
 
 
-def _contexts(at: np.ndarray, fixed: np.ndarray, starts: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token the two classes before (a text begins as if ends stood before it) and its own."""
-    c = np.where((at >= 0) & (at < len(classes)), classes[np.clip(at, 0, max(0, len(classes) - 1))], fixed) if len(classes) else fixed
+def _contexts(c: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two classes before each token; a text begins as if ends stood before it."""
     a, b = np.zeros_like(c), np.zeros_like(c)
     b[1:] = c[:-1]
     b[starts[:-1]] = 0
     a[1:] = b[:-1]
     a[starts[:-1]] = 0
-    return a, b, c
+    return a, b
+
+
+def _classes(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all tokens of ``rows`` (classes, places, kinds), and the number of tokens before each row."""
+    own, places, kinds = (rows.column(rows.schema.get_field_index(k)) for k in ("classes", "places", "kinds"))
+    starts = np.zeros(len(own) + 1, np.int64)
+    np.cumsum(np.asarray(pa.compute.binary_length(own)), out=starts[1:])
+    c = np.frombuffer(b"".join(own.to_pylist()), np.uint8).astype(np.int64)
+    lengths = np.asarray(places.value_lengths().fill_null(0))
+    at = np.repeat(starts[:-1], lengths) + np.asarray(places.flatten(), np.int64)
+    c[at] = np.asarray(kinds.flatten(), np.int64)
+    return c, starts
 
 
 def fit(train: DataFrame, exchanged: int = EXCHANGED, dictionary: int = DICTIONARY, sweeps: int = SWEEPS) -> tuple[ClassModel, DataFrame]:
-    """A model from all texts of ``train``, and the counts (word, fixed, n) of all its words, materialized."""
-    counts = materialize(word_counts(train), "words")
-    n_tokens, n_words = counts.agg(F.sum("n"), F.count("*")).first()
+    """A model from all texts of ``train``, and the counts (word, fixed, n) of all its words, materialized; fixed is the class of a word
+    that was not exchanged."""
+    seen = materialize(word_counts(train), "seen")
+    n_tokens, n_words = seen.agg(F.sum("n"), F.count("*")).first()
+    most = seen.where(F.col("word") != int(END)).orderBy(F.desc("n"), "word")
+    lead = np.asarray(most.limit(exchanged).select("word").toArrow().column("word")).astype(np.int64)
+    if len(lead):
+        classes, pairs = _exchanged(_pair_counts(train, lead), len(lead), sweeps)
+        classes = classes[: len(lead)]
+    else:
+        classes, pairs = np.zeros(0, np.int64), np.zeros((CLASSES, CLASSES))
+    assigned = assign(_neighbours(train, lead, classes), pairs)
+    counts = materialize(seen.join(assigned, "word", "left").select("word", F.coalesce("class", "fixed").alias("fixed"), "n"), "words")
+    drop(seen)
     top = counts.where(F.col("word") != int(END)).orderBy(F.desc("n"), "word").limit(dictionary).toArrow()
-    words = np.asarray(top.column("word")).astype(np.int64)
-    lead = words[:exchanged]
-    classes = exchange(_pair_counts(train, lead), len(lead), sweeps)[: len(lead)] if n_tokens else np.zeros(0, np.int64)
-    trigrams = _class_trigrams(train, lead, classes)
-    rest = counts.join(F.broadcast(train.sparkSession.createDataFrame([(int(w),) for w in lead], "word long")), "word", "left_anti").where(F.col("word") != int(END))
-    class_words = np.zeros(CLASSES)
-    for r in rest.groupBy("fixed").agg(F.count("*").alias("n")).collect():
-        class_words[r.fixed] = r.n
-    model = ClassModel(words, np.asarray(top.column("n")).astype(np.int64), classes, transition_table(trigrams), trigrams.sum((0, 1)), class_words, int(n_tokens or 0), int(n_words), len(lead))
+    words, n, own = (np.asarray(top.column(k)).astype(np.int64) for k in ("word", "n", "fixed"))
+    own[: len(lead)] = classes[: len(own)]
+    class_tokens, class_words = np.zeros(ALL), np.zeros(ALL)
+    leading = train.sparkSession.createDataFrame([(int(w),) for w in lead], "word long")
+    for r in counts.join(F.broadcast(leading), "word", "left_anti").groupBy("fixed").agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect():
+        class_tokens[r.fixed], class_words[r.fixed] = r.n, r.words
+    np.add.at(class_tokens, classes[: len(n)], n[: len(lead)])
+    model = ClassModel(words, n, own, None, class_tokens, class_words, int(n_tokens or 0), int(n_words), len(lead))
+    parts, encoded = _encoded(train, model, counts)
+    model = replace(model, transitions=transition_table(_class_trigrams(encoded)))
+    drop(parts)
     return model, counts
 
 
-def score(docs: DataFrame, model: ClassModel, counts: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) for each row of ``docs`` (doc_id, text).
+def _encoded(docs: DataFrame, model: ClassModel, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A table of parts, to be dropped, and from it (doc_id, n_tokens, n_known, base, own, classes, places, kinds) of each row.
 
-    score is the model's log10 probability of the text, base_score that of unigrams with 1/2 added, where all unseen words are one.
-    A null or blank text is its end alone. Whole texts are scored; equal rows give equal rows; extra columns are not read.
+    classes has a byte for each token; those of words outside the dictionary that have a class are kinds, at places.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, transitions=None))
     floor_tokens = model.n_tokens + 0.5 * (model.n_words + 1)
-    ends = float(model.class_tokens[0])
+    ends = int(model.class_tokens[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         find = Lookup(m.words)
-        lead = m.exchanged
-        emit_lead = np.log10(m.counts[:lead] / np.maximum(m.class_tokens[m.classes], 1)) if lead else np.zeros(0)
-        floor_class = m.class_tokens + 0.5 * (m.class_words + 1)
+        # one more for words that are not found, at -1
+        emit = np.append(np.log10((m.counts + m.half[m.classes]) / m.floors[m.classes]), 0.0)
+        counted, classes = np.append(m.counts, 0), np.append(m.classes, 0)
         for batch in batches:
             for chunk in W.chunks(batch, "text"):
                 h, fixed, starts = tokens(chunk.column(2))
                 at = find(h)
-                a, b, c = _contexts(np.where(at < lead, at, -1), fixed, starts, m.classes)
                 end = h == END
-                n = np.where(at >= 0, m.counts[np.maximum(at, 0)], 0) if len(m.counts) else np.zeros(len(h), np.int64)
-                n = np.where(end, int(ends), n)
                 open_ = (at < 0) & ~end
+                n = np.where(end, ends, counted[at])
+                c = np.where(at < 0, fixed, classes[at])
                 base = np.where(open_, 0.0, np.log10((n + 0.5) / floor_tokens))
-                own = np.where(open_, 0.0, np.log10((n + 0.5) / floor_class[fixed]))
-                own[end] = 0.0
-                first = (at >= 0) & (at < lead)
-                own[first] = emit_lead[at[first]]
-                own += m.transitions[a, b, c].astype(float)
                 add = lambda x: np.add.reduceat(x, starts[:-1])
                 rows = chunk.num_rows
+                held = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(c.astype(np.uint8))])
                 none = pa.nulls(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(1), pa.array(np.diff(starts)), pa.array(add((n > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(own)), none, pa.nulls(rows, pa.int32()), none], NAMES)
+                yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(1), pa.array(np.diff(starts)), pa.array(add((n > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(emit[at])), held, none, pa.nulls(rows, pa.int32()), pa.nulls(rows, PLACES)], NAMES)
                 if open_.any():
                     where = np.flatnonzero(open_)
                     row = np.searchsorted(starts, where, side="right") - 1
                     order = np.lexsort((h[where], row))
-                    row, word, kind = row[order], h[where][order], fixed[where][order]
+                    row, where = row[order], where[order]
+                    word = h[where]
                     new = np.ones(len(row), bool)
                     new[1:] = (row[1:] != row[:-1]) | (word[1:] != word[:-1])
                     k = np.flatnonzero(new)
-                    times = np.diff(np.append(k, len(row)))
-                    empty = pa.nulls(len(k), pa.float64())
-                    yield pa.RecordBatch.from_arrays([chunk.column(0).take(pa.array(row[k])), pa.nulls(len(k), chunk.column(1).type), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.int64()), empty, empty, pa.array(word[k]), pa.array(kind[k].astype(np.int32)), pa.array(times)], NAMES)
+                    places = pa.ListArray.from_arrays(pa.array(np.append(k, len(row)).astype(np.int32)), pa.array((where - starts[row]).astype(np.int32)))
+                    empty, none = pa.nulls(len(k), pa.float64()), pa.nulls(len(k), pa.int64())
+                    yield pa.RecordBatch.from_arrays([chunk.column(0).take(pa.array(row[k])), pa.nulls(len(k), chunk.column(1).type), none, none, empty, empty, pa.nulls(len(k), pa.binary()), pa.array(word[k]), pa.array(fixed[where[k]].astype(np.int32)), places], NAMES)
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {id_type}, n_tokens long, n_known long, base double, own double, word long, fixed int, times long"
+    schema = f"row long, doc_id {id_type}, n_tokens long, n_known long, base double, own double, classes binary, word long, fixed int, places array<int>"
     parts = materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema), "parts")
-    sums = parts.where("word IS NULL").select("row", "doc_id", "n_tokens", "n_known", "base", "own")
-    floors = (model.class_tokens + 0.5 * (model.class_words + 1)).tolist()
-    floor_class = F.element_at(F.array(*[F.lit(x) for x in floors]), F.col("fixed") + 1)
-    rare = parts.where("word IS NOT NULL").select("row", "word", "fixed", "times").join(counts.select("word", "n"), "word", "left")
-    n = F.coalesce("n", F.lit(0))
-    tail = rare.select("row", F.lit(None).cast(id_type).alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.when(n > 0, F.col("times")).otherwise(0).alias("n_known"), (F.col("times") * F.log10((n + 0.5) / floor_tokens)).alias("base"), (F.col("times") * F.log10((n + 0.5) / floor_class)).alias("own"))
-    tail = tail.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "own")])
-    whole = sums.unionByName(tail).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("own").alias("score"))
-    return whole.drop("row")
-
-
-NAMES = ["row", "doc_id", "n_tokens", "n_known", "base", "own", "word", "fixed", "times"]
+    rare = parts.where("word IS NOT NULL").select("row", "word", "fixed", "places").join(counts.select("word", "n", F.col("fixed").alias("found")), "word", "left")
+    n, c, times = F.coalesce("n", F.lit(0)), F.coalesce("found", "fixed"), F.size("places")
+    floor, half = (F.element_at(F.array(*[F.lit(float(x)) for x in v]), c + 1) for v in (model.floors, model.half))
+    moved = F.when(c > FIXED, F.struct(c.alias("c"), "places"))
+    tail = rare.select("row", F.when(n > 0, times).otherwise(0).alias("known"), (times * F.log10((n + 0.5) / floor_tokens)).alias("more_base"), (times * F.log10((n + half) / floor)).alias("more_own"), moved.alias("moved"))
+    tail = tail.groupBy("row").agg(*[F.sum(x).alias(x) for x in ("known", "more_base", "more_own")], F.collect_list("moved").alias("moved"))
+    places = F.flatten(F.transform("moved", lambda m: m["places"]))
+    kinds = F.flatten(F.transform("moved", lambda m: F.array_repeat(m["c"], F.size(m["places"]))))
+    none = F.array().cast("array<int>")
+    whole = parts.where("classes IS NOT NULL").drop("word", "fixed", "places").join(tail, "row", "left")
+    sums = [(F.col(x) + F.coalesce(y, F.lit(0))).alias(x) for x, y in (("n_known", "known"), ("base", "more_base"), ("own", "more_own"))]
+    return parts, whole.select("doc_id", "n_tokens", *sums, "classes", F.coalesce(places, none).alias("places"), F.coalesce(kinds, none).alias("kinds"))
+
+
+def score(docs: DataFrame, model: ClassModel, counts: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score) for each row of ``docs`` (doc_id, text).
+
+    score is the model's log10 probability of the text, base_score that of unigrams with 1/2 added, where all unseen words are one.
+    A null or blank text is its end alone. Whole texts are scored; equal rows give equal rows; extra columns are not read.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model.transitions)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in W.chunks(batch, "classes"):
+                c, starts = _classes(chunk)
+                a, b = _contexts(c, starts)
+                steps = np.add.reduceat(shared.value[a, b, c].astype(float), starts[:-1])
+                yield pa.RecordBatch.from_arrays([*chunk.columns[:4], pa.array(np.asarray(chunk.column(4)) + steps)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    _, encoded = _encoded(docs, model, counts)
+    return encoded.mapInArrow(run, f"doc_id {id_type}, n_tokens long, n_known long, base_score double, score double")
+
+
+PLACES = pa.list_(pa.int32())
+NAMES = ["row", "doc_id", "n_tokens", "n_known", "base", "own", "classes", "word", "fixed", "places"]
 
 
 def part(doc_id: Column) -> Column:

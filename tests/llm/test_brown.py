@@ -121,3 +121,40 @@ def test_edge_rows(spark):
     model, counts = B.fit(docs.limit(0), 10, 10, 2)
     assert B.score(docs.limit(0), model, counts).count() == 0
     assert all(r.n_known == 0 and r.score < 0 for r in B.score(docs, model, counts).collect())
+
+
+def test_further_words_go_to_their_likeliest_class(spark):
+    rng = np.random.default_rng(2)
+    pairs = rng.integers(0, 50, (B.CLASSES, B.CLASSES)).astype(float)
+    rows = [(w, int(code), int(rng.integers(1, 4))) for w in range(12) for k in (0, B.CLASSES) for code in rng.choice(B.CLASSES, 5, False) + k]
+    rows += [(99, 3, 1), (99, B.CLASSES, 1)]
+    got = {r["word"]: r["class"] for r in B.assign(spark.createDataFrame(rows, "word long, code int, n long"), pairs).collect()}
+    expected = {}
+    for w in range(12):
+        gains = []
+        for c in range(1 + B.FIXED, B.CLASSES):
+            after = sum(n * math.log((pairs[c, k] + 0.5) / (pairs[c].sum() + 0.5 * B.CLASSES)) for v, k, n in rows if v == w and k < B.CLASSES)
+            gains.append(after + sum(n * math.log((pairs[k - B.CLASSES, c] + 0.5) / (pairs[:, c].sum() + 0.5 * B.CLASSES)) for v, k, n in rows if v == w and k >= B.CLASSES))
+        expected[w] = B.CLASSES + int(np.argmax(gains))
+    assert got == expected
+
+
+def test_every_repeated_word_has_a_class_by_its_neighbours(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    model, counts = B.fit(docs, 50, 100, 2)
+    lead = set(model.words[:50].tolist())
+    for r in counts.collect():
+        if r.word != B.END and r.word not in lead:
+            assert (r.fixed >= B.CLASSES) == (r.n >= B.LEAST)
+    assert abs(model.class_tokens.sum() - model.n_tokens) < 1e-9
+
+
+def test_classes_of_neighbours_and_of_open_words(spark):
+    docs = spark.createDataFrame([(1, "a b a c"), (2, None)], "doc_id long, text string")
+    h, fixed, _ = B.tokens(pa.array(["a b a c"]))
+    got = {(r.word, r.code): r.n for r in B._neighbours(docs, h[:1], np.array([40])).collect()}
+    assert got == {(h[1], 40): 1, (h[1], 40 + B.CLASSES): 1, (h[3], 0): 1, (h[3], 40 + B.CLASSES): 1}
+    rows = pa.RecordBatch.from_arrays([pa.array([bytes([1, 2, 0]), bytes([0]), bytes([5, 0])]), pa.array([[1], [], [0]], B.PLACES), pa.array([[140], [], [150]], B.PLACES)], ["classes", "places", "kinds"])
+    c, starts = B._classes(rows.slice(1))
+    assert c.tolist() == [0, 150, 0] and starts.tolist() == [0, 1, 3]
+    assert B._classes(rows)[0].tolist() == [1, 140, 0, 0, 150, 0]
