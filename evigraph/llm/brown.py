@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm import words as W
-from evigraph.plans.scratch import drop, materialize
+from evigraph.plans.scratch import drop, materialize, release
 
 EXCHANGED = 8192
 DICTIONARY = 1 << 18
@@ -415,9 +415,11 @@ def fit(train: DataFrame, exchanged: int = EXCHANGED, dictionary: int = DICTIONA
         classes = classes[: len(lead)]
     else:
         classes, pairs = np.zeros(0, np.int64), np.zeros((CLASSES, CLASSES))
+    release(train.sparkSession)
     assigned = assign(_neighbours(train, lead, classes), pairs)
     counts = materialize(seen.join(assigned, "word", "left").select("word", F.coalesce("class", "fixed").alias("fixed"), "n"), "words")
     drop(seen)
+    release(train.sparkSession)
     top = counts.where(F.col("word") != int(END)).orderBy(F.desc("n"), "word").limit(dictionary).toArrow()
     words, n, own = (np.asarray(top.column(k)).astype(np.int64) for k in ("word", "n", "fixed"))
     own[: len(lead)] = classes[: len(own)]
