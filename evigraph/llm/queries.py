@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import brown, chat, decontaminate, jaccard, langid, licenses, mixing, quality, secrets, warc
+from evigraph.llm import brown, chat, decontaminate, jaccard, langid, licenses, merkle, mixing, quality, secrets, warc
 from evigraph.plans.scratch import materialize
 
 
@@ -64,6 +64,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), received=F.when(tampered, F.translate("text", "\n", "")).otherwise(F.col("text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown_score": op1_brown_score,
     "op2_quality_outliers": op2_quality_outliers,
@@ -75,13 +80,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: Words with A-Z as a-z.
 WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\x09-\\x0D]+')"
 RUN = "array_to_string(list_slice(w, i, i + {k} - 1), ' ')"
 
+#: CRC-32: its table by rule, as a row ``crc(tbl)``; then of a list of byte values ``{b}``, a byte at a time.
+CRC_TABLE = "crc AS (SELECT list(t ORDER BY k) AS tbl FROM (SELECT k, list_reduce(list_prepend(k::BIGINT, range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS t FROM range(256) z(k)))"
+CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, {b}), lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), 4294967295)"
+
 PLAIN = WORDS.replace("[^ \\x09-\\x0D]+", "[^\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+")
+_FIELD = "CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c=c if c != "text" else "({t})") for c in merkle.COLUMNS) + ")"
 _VALUES = ", ".join("('{}', '{}')".format(f"{a}/{b}", c.replace("'", "''")) for a, b, c in licenses.TEMPLATES)
 
 ORACLES: dict[str, str] = {
@@ -159,4 +171,26 @@ l AS (SELECT a, b FROM c JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id W
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)
 SELECT x AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(y) AS component_id FROM r LEFT JOIN n ON n.doc_id = x GROUP BY x""",
+    "op13_merkle_manifest": f"""
+WITH RECURSIVE {CRC_TABLE},
+v AS (SELECT row_number() OVER () AS rn, documents.*, coalesce({CRC32.format(b="list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)")} % 2 = 0, false) AS bad FROM documents, crc),
+x AS (SELECT rn, doc_id, source, {_LEAF.format(t="text")} AS leaf, {_LEAF.format(t="CASE WHEN bad THEN replace(text, chr(10), '') ELSE text END")} AS other FROM v),
+y AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, rn) - 1 AS place FROM x),
+t AS (SELECT source, 0 AS level, place AS i, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM y
+  UNION ALL SELECT source, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM t WHERE n > 1 GROUP BY source, level, i // 3),
+s AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, place AS i, subroot AS h, count(*) OVER () AS n FROM s
+  UNION ALL SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM u WHERE n > 1 GROUP BY level, i // 3),
+a AS (SELECT source, 1 AS up, level, i, h, n FROM t UNION ALL SELECT '' AS source, 2, level, i, h, n FROM u),
+g AS (SELECT up, source, level, i // 3 AS j, list(h ORDER BY i) AS run FROM a WHERE n > 1 GROUP BY ALL),
+d AS (SELECT source, max(level) AS levels FROM t GROUP BY source),
+p AS (SELECT y.rn, y.doc_id, y.source, y.leaf, y.place, s.subroot, s.place AS splace, d.levels, y.other AS h, 0 AS k, '' AS proof
+  FROM y JOIN s ON y.source IS NOT DISTINCT FROM s.source JOIN d ON y.source IS NOT DISTINCT FROM d.source
+  UNION ALL SELECT p.rn, p.doc_id, p.source, p.leaf, p.place, p.subroot, p.splace, p.levels,
+    sha256(array_to_string(list_slice(run, 1, o), '') || p.h || array_to_string(list_slice(run, o + 2, 3), '')), k + 1, proof || array_to_string(list_slice(run, 1, o), '') || array_to_string(list_slice(run, o + 2, 3), '')
+  FROM (SELECT *, CASE WHEN k < levels THEN place // (3 ** k)::BIGINT ELSE splace // (3 ** (k - levels))::BIGINT END AS own, own % 3 AS o FROM p) p
+  JOIN g ON g.up = CASE WHEN k < levels THEN 1 ELSE 2 END AND g.level = CASE WHEN k < levels THEN k ELSE k - levels END AND g.j = own // 3 AND (k >= levels OR g.source IS NOT DISTINCT FROM p.source)),
+w AS (SELECT *, row_number() OVER (PARTITION BY rn ORDER BY k DESC) AS last FROM p),
+r AS (SELECT h AS root FROM u WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified FROM w, r WHERE last = 1""",
 }
