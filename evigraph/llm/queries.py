@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import brown, chat, decontaminate, jaccard, langid, licenses, merkle, mixing, quality, secrets, warc
+from evigraph.llm import brown, chat, decontaminate, jaccard, langid, licenses, merkle, mixing, quality, secrets, spelling, warc
 from evigraph.plans.scratch import materialize
 
 
@@ -64,6 +64,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
     return merkle.manifest(table(spark, sf_dir, "documents"), received=F.when(tampered, F.translate("text", "\n", "")).otherwise(F.col("text")))
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -171,6 +176,21 @@ l AS (SELECT a, b FROM c JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id W
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)
 SELECT x AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(y) AS component_id FROM r LEFT JOIN n ON n.doc_id = x GROUP BY x""",
+    "op12_spelling_variants": f"""
+WITH RECURSIVE {CRC_TABLE},
+o AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc, translate(unnest(regexp_extract_all(text, '[{spelling.LETTERS}]{{{spelling.LEAST_LENGTH},}}')), '{spelling.UPPER}', '{spelling.LOWER}') AS run FROM documents),
+g AS (SELECT doc, run, count(*) AS c FROM o GROUP BY ALL),
+b AS (SELECT *, flatten(list_transform(string_split(doc || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [(192 | (unicode(c) >> 6))::BIGINT, (128 | (unicode(c) & 63))::BIGINT] END)) AS bytes FROM g),
+h AS (SELECT run, c, {CRC32.format(b="bytes")} AS h FROM b, crc),
+r AS (SELECT CASE WHEN h % {spelling.DAMAGED} = 0 THEN substr(run, 1, (h % len(run))::INT) || substr(run, (h % len(run))::INT + 2) ELSE run END AS word, c FROM h),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM r WHERE len(word) >= {spelling.LEAST_LENGTH} GROUP BY word HAVING sum(c) >= {spelling.LEAST_COUNT}),
+d AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS u FROM v, LATERAL (SELECT unnest(range(len(word)))::INT AS i)),
+p AS (SELECT x.word AS a, y.word AS b FROM d x JOIN d y ON x.i = y.i AND x.u = y.u AND x.word <> y.word UNION SELECT d.word, v.word FROM d JOIN v ON d.u = v.word UNION SELECT v.word, d.word FROM d JOIN v ON d.u = v.word),
+k AS (SELECT a, b, n, row_number() OVER (PARTITION BY a ORDER BY n DESC, encode(b)) AS place, count(*) OVER (PARTITION BY a) AS n_near FROM p JOIN v ON b = v.word),
+f AS (SELECT v.word, v.n, coalesce(k.n_near, 0) AS n_near, CASE WHEN k.n >= {spelling.RATIO} * v.n THEN k.b END AS form, CASE WHEN k.n >= {spelling.RATIO} * v.n THEN k.n END AS form_n FROM v LEFT JOIN k ON v.word = k.a AND place = 1),
+t AS (SELECT word, coalesce(form, word) AS root FROM f UNION SELECT t.word, f.form FROM t JOIN f ON t.root = f.word WHERE f.form IS NOT NULL),
+e AS (SELECT t.word, t.root FROM t JOIN f ON t.root = f.word WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN e USING (word)""",
     "op13_merkle_manifest": f"""
 WITH RECURSIVE {CRC_TABLE},
 v AS (SELECT row_number() OVER () AS rn, documents.*, coalesce({CRC32.format(b="list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)")} % 2 = 0, false) AS bad FROM documents, crc),
