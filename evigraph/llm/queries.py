@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import brown, chat, decontaminate, jaccard, langid, licenses, merkle, mixing, quality, secrets, spelling, warc
+from evigraph.llm import brown, chat, decontaminate, jaccard, langid, licenses, merkle, mixing, packing, quality, secrets, spelling, warc
 from evigraph.plans.scratch import materialize
 
 
@@ -64,6 +64,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
+def op11_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_pattern_packing": op11_pattern_packing,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
