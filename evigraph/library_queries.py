@@ -13,7 +13,7 @@ from evigraph.operators import groups as G
 from evigraph.operators import intake as I
 from evigraph.operators import reports as R
 from evigraph.oracle import _BEST, _COS, _SIX, _TOP, ASOF, BASE, EV, FP, GROUPS, IM, ORACLES, PR, SELECTED
-from evigraph.queries import COSINE, FIRST, HAMMING, LAST, MIN_SCORE, _good, _groups, _scored, _selected, _topk, _vectors, query
+from evigraph.queries import COSINE, FIRST, HAMMING, LAST, MIN_SCORE, _good, _groups, _scored, _selected, _topk, query
 from evigraph.sources import views as V
 
 #: Queries without SQL: pixels of made images.
@@ -274,14 +274,25 @@ def exact_duplicate_classes(s, d):
     return C.duplicate_classes(own)
 
 
-_SHIFT = "list_concat(list_slice(v{0}.embedding, angle_{0} // 90 * 16 + 1, 64), list_slice(v{0}.embedding, 1, angle_{0} // 90 * 16))"
-_ROTATED = f"""rot AS (SELECT h.*, {_COS.format('va.embedding', 'vb.embedding')} AS base, {_COS.format(_SHIFT.format('a'), _SHIFT.format('b'))} AS turned FROM ({_BEST}) h JOIN embeddings va ON va.vec_id = h.a JOIN embeddings vb ON vb.vec_id = h.b),
-gate AS (SELECT a, b, distance, CASE WHEN base >= 0.1 THEN 'phash_and_base' ELSE 'phash_and_rotated' END AS source, CASE WHEN base >= 0.1 THEN base ELSE turned END AS sim FROM rot WHERE base >= 0.1 OR (angle_a <> angle_b AND turned >= 0.1))"""
+#: Turned vectors are stored for ids that 3 doesn't divide.
+_STORED = "rv AS (SELECT vec_id AS id, angle, list_concat(list_slice(embedding, angle // 90 * 16 + 1, 64), list_slice(embedding, 1, angle // 90 * 16)) AS v FROM embeddings, (VALUES (0), (90), (180), (270)) t(angle) WHERE angle = 0 OR vec_id % 3 <> 0)"
+_BASED = f"hb AS (SELECT h.*, {_COS.format('va.v', 'vb.v')} AS base FROM ({_BEST}) h JOIN rv va ON va.id = h.a AND va.angle = 0 JOIN rv vb ON vb.id = h.b AND vb.angle = 0)"
+_ROTATED = f"""{_STORED}, {_BASED},
+gate AS (SELECT a, b, distance, 'phash_and_base' AS source, base AS sim FROM hb WHERE base >= 0.1
+  UNION ALL SELECT * FROM (SELECT a, b, distance, 'phash_and_rotated', {_COS.format('va.v', 'vb.v')} AS sim FROM hb JOIN rv va ON va.id = a AND va.angle = angle_a JOIN rv vb ON vb.id = b AND vb.angle = angle_b WHERE base < 0.1 AND angle_a <> angle_b) WHERE sim >= 0.1)"""
 
 
 def _turned(s, d):
-    hits = C.hamming_pairs(V.fingerprints(s, d), HAMMING)
-    return C.aligned_cosine(hits.join(_vectors(s, d, "a"), "a").join(_vectors(s, d, "b"), "b"), 0.1, 16)
+    return C.aligned_cosine(C.hamming_pairs(V.fingerprints(s, d), HAMMING), V.rotated_vectors(s, d), 0.1)
+
+
+@sql(f"{FP}, {_STORED}, {_BASED}, n AS (SELECT a AS id, angle_a AS angle FROM hb WHERE base < 0.1 AND angle_a <> angle_b UNION SELECT b, angle_b FROM hb WHERE base < 0.1 AND angle_a <> angle_b) SELECT id, angle FROM n WHERE (id, angle) NOT IN (SELECT (id, angle) FROM rv)")
+def missing_rotations(s, d):
+    """Turned vectors that the model still has to make for the hits that need them."""
+    stored = V.rotated_vectors(s, d)
+    plain = lambda c: stored.where("angle = 0").select(F.col("id").alias(c), F.col("vector").alias(f"v{c}"))
+    hits = C.hamming_pairs(V.fingerprints(s, d), HAMMING).join(plain("a"), "a").join(plain("b"), "b")
+    return C.missing_rotations(hits.where(C.cosine(F.col("va"), F.col("vb")) < 0.1), stored)
 
 
 @sql(f"{FP}, {_ROTATED} SELECT a, b, distance, source, {_SIX.format('sim')} AS sim FROM gate")

@@ -7,17 +7,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evigraph.operators import blocks
 from evigraph.plans.scratch import materialize
 
-#: Vectors of the index that go to the tasks at once, a block; 32 768 of 512 floats are 64 MB.
-BLOCK_VECTORS = 32_768
-BLOCK_PRINTS = 65_536
 #: Bits of a 16-bit part up to which its neighbours are listed: 137 of 65 536 values.
 INDEXED = 2
+#: Values of a part's list that are joined by rows; longer lists go to the comparison by blocks.
+CROWDED = 4096
 
 
 def exact_duplicates(items: DataFrame, key: str = "id", digest: str = "sha256") -> DataFrame:
@@ -32,16 +31,34 @@ def duplicate_classes(items: DataFrame, key: str = "id", digest: str = "sha256")
     return items.join(classes, digest).select(F.col(key).alias("id"), "representative", "size")
 
 
-def aligned_cosine(hits: DataFrame, least: float, step: int) -> DataFrame:
-    """(a, b, distance, source, sim) of fingerprint hits (angle_a, angle_b, va, vb) whose vectors are alike as they are, or turned alike.
+def needed_rotations(hits: DataFrame) -> DataFrame:
+    """(id, angle) whose turned vectors fingerprint hits (a, b, angle_a, angle_b, base) ask for: those alike by fingerprint only, at unlike angles."""
+    own = hits.where("angle_a <> angle_b").select(F.explode(F.array(*[F.struct(F.col(s).alias("id"), F.col(f"angle_{s}").alias("angle")) for s in "ab"])).alias("x"))
+    return own.select("x.*").distinct()
 
-    A turn by 90 degrees shifts a vector cyclically by ``step`` places. Turned ones count where the plain ones fail and angles differ.
+
+def missing_rotations(hits: DataFrame, stored: DataFrame) -> DataFrame:
+    """What the model has to embed: needed (id, angle) that ``stored`` (id, angle, vector) lacks."""
+    return needed_rotations(hits).join(stored.select("id", "angle"), ["id", "angle"], "left_anti")
+
+
+def aligned_cosine(hits: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """(a, b, distance, source, sim) of fingerprint hits (a, b, distance, angle_a, angle_b) whose vectors are alike as they are, or turned alike.
+
+    ``vectors`` (id, angle, vector) are stored ones; angle 0 is the plain one. Hits alike by their plain vectors pass. Of the others,
+    those whose angles differ are compared by both sides' vectors at their own angle; a hit without one of these vectors doesn't pass.
     """
-    turned = lambda v, angle: F.concat(F.slice(v, (F.col(angle) / 90 * step + 1).cast("int"), F.size(v)), F.slice(v, F.lit(1), (F.col(angle) / 90 * step).cast("int")))
-    rows = hits.withColumn("base", cosine(F.col("va"), F.col("vb")))
-    rows = rows.withColumn("turned", F.when((F.col("base") < least) & (F.col("angle_a") != F.col("angle_b")), cosine(turned("va", "angle_a"), turned("vb", "angle_b"))))
-    source = F.when(F.col("base") >= least, "phash_and_base").when(F.col("turned") >= least, "phash_and_rotated")
-    return rows.select("a", "b", "distance", source.alias("source"), F.when(F.col("base") >= least, F.col("base")).otherwise(F.col("turned")).alias("sim")).where("source IS NOT NULL")
+    side = lambda s, v, *on: v.select(F.col("id").alias(s), *on, F.col("vector").alias(f"v{s}"))
+    plain = vectors.where("angle = 0")
+    rows = hits.join(side("a", plain), "a").join(side("b", plain), "b").withColumn("base", cosine(F.col("va"), F.col("vb"))).drop("va", "vb")
+    rows = materialize(rows, "hits")
+    alike = rows.where(F.col("base") >= least).select("a", "b", "distance", F.lit("phash_and_base").alias("source"), F.col("base").alias("sim"))
+    rest = rows.where((F.col("base") < least) & (F.col("angle_a") != F.col("angle_b")))
+    turned = vectors.join(needed_rotations(rest), ["id", "angle"], "left_semi")
+    for s in "ab":
+        rest = rest.join(side(s, turned, F.col("angle").alias(f"angle_{s}")), [s, f"angle_{s}"])
+    rest = rest.withColumn("sim", cosine(F.col("va"), F.col("vb"))).where(F.col("sim") >= least)
+    return alike.unionByName(rest.select("a", "b", "distance", F.lit("phash_and_rotated").alias("source"), "sim"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -50,48 +67,45 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.greatest(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(1e-12))
 
 
-def topk_cosine(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def unit_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, data): each vector over its norm, as bytes; null and empty ones are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                v = np.stack(batch.column(1).to_numpy(zero_copy_only=False))
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in v.astype("<f8")], pa.binary())], ["key", "data"])
+
+    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).where(F.size("v") > 0)
+    return rows.mapInArrow(run, "key long, data binary")
+
+
+def topk_cosine(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", per: int | None = None) -> DataFrame:
     """(query, match, sim, rank): the k nearest of every vector, itself included; ties by key. Exact.
 
-    The index is taken in blocks of BLOCK_VECTORS. A block is broadcast and every partition of queries is multiplied with it, keeping
-    the best k of each query; the blocks' winners are ranked at the end. Null and empty vectors have no match.
+    Equal vectors are one query and one entry of the index with its k smallest keys, so n of them give n * k rows and no more work
+    than one. Blocks of vectors are compared within tasks (:mod:`evigraph.operators.blocks`), those too far away are left out. Null and
+    empty vectors have no match.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).where(F.size("v") > 0)
-    rows = materialize(rows, "vectors")
-    blocks = max(1, -(-rows.count() // BLOCK_VECTORS))
-    parts = []
-    for b in range(blocks):
-        own = rows.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).toArrow()
-        if not own.num_rows:
-            continue
-        ids = own.column("key").to_numpy()
-        order = np.argsort(ids)
-        matrix = np.stack(own.column("v").to_numpy())[order]
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-        shared = spark.sparkContext.broadcast((ids[order], matrix))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    q = np.stack(part.column(1).to_numpy(zero_copy_only=False))
-                    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-                    sims = q @ matrix.T
-                    n = min(k, len(ids))
-                    edge = np.partition(sims, len(ids) - n, axis=1)[:, len(ids) - n, None] if n < len(ids) else np.full((len(q), 1), -np.inf)
-                    i, j = np.nonzero(sims >= edge)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array(ids[j]), pa.array(sims[i, j])], ["query", "match", "sim"])
-
-        parts.append(rows.mapInArrow(run, "query long, match long, sim double"))
-    if not parts:
+    rows = materialize(unit_vectors(vectors, key, vector), "vectors")
+    first = rows.first()
+    if first is None:
         return spark.createDataFrame([], "query long, match long, sim double, rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    same = Window.partitionBy("data").orderBy("key")
+    kept = materialize(rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k), "kept")
+    alone = kept.where("nth = 1").select("key", "data")
+    out, _ = blocks.nearest(alone, len(first.data) // 8, k, per)
     best = Window.partitionBy("query").orderBy(F.desc(F.round("sim", 9)), "match")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    out = ranked(out)
+    if rows.count() == alone.count():
+        return out
+    names = materialize(rows.join(alone.withColumnRenamed("key", "named"), "data").select("key", "named"), "named")
+    members = kept.join(alone.withColumnRenamed("key", "named"), "data").select(F.col("named").alias("match"), F.col("key").alias("member"))
+    out = ranked(out.drop("rank").join(members, "match").select("query", F.col("member").alias("match"), "sim"))
+    return out.withColumnRenamed("query", "named").join(names.withColumnRenamed("key", "query"), "named").select("query", "match", "sim", "rank")
 
 
 def hamming(hi_a: Column, lo_a: Column, hi_b: Column, lo_b: Column) -> Column:
@@ -102,62 +116,61 @@ def _masks(width: int, most: int) -> list[int]:
     return [sum(1 << p for p in c) for k in range(most + 1) for c in combinations(range(width), k)]
 
 
-def hamming_pairs(prints: DataFrame, radius: int, key: str = "vec_id", rotations: bool = True) -> DataFrame:
+def hamming_pairs(prints: DataFrame, radius: int, key: str = "vec_id", rotations: bool = True, per: int | None = None) -> DataFrame:
     """(a, b, distance, angle_a, angle_b), a < b, within ``radius`` under the best rotations: least distance, then angles. Exact.
 
-    Of the four 16-bit parts of two fingerprints one differs in radius // 4 bits at most. Up to INDEXED bits that is rare, and an
-    equi-join over parts finds the candidates; beyond, a part's neighbourhood holds a large share of all values, and comparing
-    with all fingerprints, in blocks, costs less than any index over it.
+    Only distinct fingerprints are compared (:func:`near_prints`); all that share one have its partners.
     """
-    own = prints.select(F.col(key).alias("key"), "angle", "hi", "lo")
+    own = prints.select(F.col(key).alias("key"), "angle", F.shiftleft("hi", 32).bitwiseOR(F.col("lo")).alias("bits"))
     own = own if rotations else own.where("angle = 0")
-    hits = _indexed_hits(own, radius) if radius // 4 <= INDEXED else _block_hits(own, radius)
+    own = materialize(own, "prints")
+    near = near_prints(own, radius, per)
+    side = lambda s, on: own.select(F.col("bits").alias(on), F.col("key").alias(s), F.col("angle").alias(f"angle_{s}"))
+    met = near.join(side("a", "u"), "u").join(side("b", "v"), "v").where("a <> b")
+    ordered = lambda x, y: F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y))
+    hits = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance", ordered("angle_a", "angle_b").alias("angle_a"), ordered("angle_b", "angle_a").alias("angle_b"))
     best = hits.groupBy("a", "b").agg(F.min(F.struct("distance", "angle_a", "angle_b")).alias("m"))
     return best.select("a", "b", "m.*")
 
 
-def _indexed_hits(own: DataFrame, radius: int) -> DataFrame:
-    """Multi-index hashing: one side brings the values within radius // 4 bits of each part, the other the part itself.
+def near_prints(prints: DataFrame, radius: int, per: int | None = None) -> DataFrame:
+    """(u, v, distance), u <= v, of all fingerprints in ``prints`` (bits) within ``radius``, each with itself. Exact.
 
-    Parts whose values crowd (flat images) make long joins; those of nothing but zeros or ones should be filtered before.
+    If each part i of four 16-bit parts differed in more than t_i bits, all would differ in the sum of (t_i + 1) at least; with that sum
+    just above the radius one part is within its t_i. Up to INDEXED bits that is rare, and an equi-join over parts finds the
+    candidates; values of parts that crowd are left to the comparison by blocks. At wider radii a part's neighbourhood holds a large
+    share of all values, and comparing blocks (:mod:`evigraph.operators.blocks`) costs less than any index over parts.
     """
-    parts = F.array(F.shiftright("hi", 16), F.col("hi").bitwiseAND(F.lit(65535)), F.shiftright("lo", 16), F.col("lo").bitwiseAND(F.lit(65535)))
-    own = own.select("*", F.posexplode(parts).alias("part", "value"))
-    masks = F.array(*[F.lit(m) for m in _masks(16, radius // 4)])
-    near = own.withColumn("mask", F.explode(masks)).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
-    sides = near.alias("x").join(own.alias("y"), F.expr("x.part = y.part AND x.value = y.value AND x.key < y.key"))
-    d = hamming(F.col("x.hi"), F.col("x.lo"), F.col("y.hi"), F.col("y.lo"))
-    return sides.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), d.alias("distance"), F.col("x.angle").alias("angle_a"), F.col("y.angle").alias("angle_b")).where(F.col("distance") <= radius)
-
-
-def _block_hits(own: DataFrame, radius: int) -> DataFrame:
-    """Blocks of BLOCK_PRINTS fingerprints are broadcast, and every batch is compared with them."""
-    spark, key_type = own.sparkSession, own.schema["key"].dataType.simpleString()
-    schema = f"a {key_type}, b {key_type}, distance int, angle_a int, angle_b int"
-    own = materialize(own, "prints")
-    blocks = max(1, -(-own.count() // BLOCK_PRINTS))
-    bits = lambda t: (t.column("hi").to_numpy(zero_copy_only=False).astype(np.uint64) << np.uint64(32)) | t.column("lo").to_numpy(zero_copy_only=False).astype(np.uint64)
-    out = spark.createDataFrame([], schema)
-    for k in range(blocks):
-        block = own.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == k).toArrow().combine_chunks()
-        if not block.num_rows:
-            continue
-        shared = spark.sparkContext.broadcast(block.to_batches()[0])
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            right = shared.value
-            values = bits(right)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    distance = np.bitwise_count(bits(part)[:, None] ^ values[None])
-                    i, j = np.nonzero(distance <= radius)
-                    left, other = part.take(pa.array(i)), right.take(pa.array(j))
-                    rows = pa.RecordBatch.from_arrays([left.column("key"), other.column("key"), pa.array(distance[i, j].astype(np.int32)), left.column("angle"), other.column("angle")], ["a", "b", "distance", "angle_a", "angle_b"])
-                    yield rows.filter(pa.compute.less(rows.column("a"), rows.column("b")))
-
-        out = out.unionByName(own.mapInArrow(run, schema))
-    return out
+    values = materialize(prints.select("bits").distinct(), "values")
+    itself = values.select(F.col("bits").alias("u"), F.col("bits").alias("v"), F.lit(0).alias("distance"))
+    near = _indexed(values, radius, per) if max(part_radii(radius)) <= INDEXED else blocks.near_values(values, radius, per)
+    return near.unionByName(itself)
+
+
+def part_radii(radius: int, parts: int = 4) -> list[int]:
+    """The widest radius for each part such that sum(t + 1) = radius + 1; -1 needs no look at that part."""
+    return [(radius + 1 + k) // parts - 1 for k in range(parts)]
+
+
+def _indexed(values: DataFrame, radius: int, per: int | None) -> DataFrame:
+    """Multi-index hashing: one side brings the values within its radius of each part, the other the part itself."""
+    part = lambda k: F.shiftrightunsigned("bits", 48 - 16 * k).bitwiseAND(F.lit(65535))
+    wide = part_radii(radius)
+    own = values.select("bits", F.posexplode(F.array(*map(part, range(4)))).alias("part", "value"))
+    own = own.where(F.col("part").isin(*[k for k, t in enumerate(wide) if t >= 0]))
+    # at most one value in CROWDED rows of a part crowds
+    crowded = materialize(own.groupBy("part", "value").count().where(F.col("count") > CROWDED).select("part", "value"), "crowded")
+    masks = F.array(*[F.array(*[F.lit(m) for m in _masks(16, max(t, 0))]) for t in wide])
+    near = own.withColumn("mask", F.explode(F.get(masks, F.col("part")))).withColumn("value", F.col("value").bitwiseXOR(F.col("mask").cast("long"))).drop("mask")
+    sparse = own.join(F.broadcast(crowded), ["part", "value"], "left_anti")
+    met = near.alias("x").join(sparse.alias("y"), F.expr("x.part = y.part AND x.value = y.value AND x.bits <> y.bits"))
+    pairs = met.select(F.least("x.bits", "y.bits").alias("u"), F.greatest("x.bits", "y.bits").alias("v"))
+    pairs = pairs.withColumn("distance", F.bit_count(F.col("u").bitwiseXOR(F.col("v")))).where(F.col("distance") <= radius)
+    if not crowded.isEmpty():
+        # both sides of a pair that only a crowded value would show lie in its neighbourhood
+        around = near.join(F.broadcast(crowded), ["part", "value"], "left_semi").select("bits").distinct()
+        pairs = pairs.unionByName(blocks.near_values(materialize(around, "around"), radius, per))
+    return pairs.distinct()
 
 
 def union_sources(*legs: tuple[str, int, DataFrame]) -> DataFrame:

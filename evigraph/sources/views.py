@@ -89,3 +89,13 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda i: F.get(F.col("bits"), ((F.lit(i) + F.col("angle") / 90 * 16) % 64).cast("int"))
     half = lambda a: sum((at(a + i) * (1 << (31 - i)) for i in range(32)), F.lit(0).cast("long"))
     return turned.select("vec_id", "angle", half(0).alias("hi"), half(32).alias("lo"))
+
+
+def rotated_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, angle, vector) as stored embeddings of turned images: all plain ones, and the turned ones of two ids in three.
+
+    The driver's vectors have no pictures, so a cyclic shift by 16 places for each 90 degrees stands for what the model would return.
+    """
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.explode(F.array(*map(F.lit, (0, 90, 180, 270)))).alias("angle")).where("angle = 0 OR id % 3 <> 0")
+    at = (F.col("angle") / 90 * 16).cast("int")
+    return e.select("id", "angle", F.concat(F.slice("embedding", at + 1, F.size("embedding")), F.slice("embedding", F.lit(1), at)).alias("vector"))
