@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from evigraph.plans.scratch import materialize
 
-#: Pivots at most; beyond ``MAX_PIVOTS * per`` rows blocks grow in number by cutting what gathers at a pivot.
+#: Pivots at most, chosen from a sample of four times as many rows (which decides about speed only); beyond ``MAX_PIVOTS * per`` rows blocks grow in number by cutting what gathers at a pivot.
 MAX_PIVOTS = 4096
 TILE = 256
 
@@ -106,10 +106,20 @@ def packed(rows: DataFrame, metric, per: int | None = None) -> DataFrame:
     return materialize(made.mapInArrow(pack, "block int, n int, keys binary, data binary, centre binary, radius double"), "packed")
 
 
+def spread(values: np.ndarray, metric, p: int) -> list[int]:
+    """Places of ``p`` values, each as far as can be from those before it."""
+    chosen, far = [0], metric.distances(values[:1], values)[0]
+    while len(chosen) < min(p, len(values)):
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, metric.distances(values[chosen[-1] :][:1], values)[0])
+    return chosen
+
+
 def _dealt(rows: DataFrame, metric, per: int, n: int) -> DataFrame:
     """(block, key, data): rows by their nearest pivot, and what gathers there cut by the key's hash."""
-    pivots = rows.orderBy(F.xxhash64("key"), "key").limit(int(min(MAX_PIVOTS, -(-n // per)))).select("data").collect()
-    shared = rows.sparkSession.sparkContext.broadcast(b"".join(bytes(r.data) for r in pivots))
+    p = int(min(MAX_PIVOTS, -(-n // per)))
+    sample = [bytes(r.data) for r in rows.orderBy(F.xxhash64("key"), "key").limit(4 * p).select("data").collect()]
+    shared = rows.sparkSession.sparkContext.broadcast(b"".join(sample[i] for i in spread(metric.matrix(b"".join(sample)), metric, p)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = metric.matrix(shared.value)

@@ -156,14 +156,13 @@ def test_hamming_index_and_blocks_agree(spark, monkeypatch):
             d = (x.hi ^ y.hi).bit_count() + (x.lo ^ y.lo).bit_count()
             if x.vec_id < y.vec_id and d <= 10:
                 brute[x.vec_id, y.vec_id] = min(brute.get((x.vec_id, y.vec_id), (99,)), (d, x.angle, y.angle))
-    got = lambda: {(r.a, r.b): (r.distance, r.angle_a, r.angle_b) for r in C.hamming_pairs(fp, 10).collect()}
+    got = lambda per=None: {(r.a, r.b): (r.distance, r.angle_a, r.angle_b) for r in C.hamming_pairs(fp, 10, per=per).collect()}
     assert got() == brute and brute
     monkeypatch.setattr(C, "INDEXED", 0)
-    monkeypatch.setattr(C, "BLOCK_PRINTS", 70)
-    assert got() == brute
+    assert got(70) == brute
 
 
-def test_topk_in_blocks(spark, monkeypatch):
+def test_topk_in_blocks(spark):
     import numpy as np
 
     rng = np.random.default_rng(1)
@@ -174,8 +173,7 @@ def test_topk_in_blocks(spark, monkeypatch):
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     expected = {(i, j) for i in range(60) for j in sorted(range(60), key=lambda j: (-round(float(u[i] @ u[j]), 9), j))[:5]}
     for size in (1000, 13):
-        monkeypatch.setattr(C, "BLOCK_VECTORS", size)
-        assert {(r.query, r.match) for r in C.topk_cosine(df, 5).collect()} == expected
+        assert {(r.query, r.match) for r in C.topk_cosine(df, 5, per=size).collect()} == expected
 
 
 def test_library(spark):
