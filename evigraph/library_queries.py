@@ -9,12 +9,17 @@ from evigraph.functions import images as P
 from evigraph.functions import metadata as M
 from evigraph.operators import candidates as C
 from evigraph.operators import display as D
+from evigraph.operators import forest as T
 from evigraph.operators import groups as G
 from evigraph.operators import intake as I
 from evigraph.operators import reports as R
-from evigraph.oracle import _BEST, _COS, _SIX, _TOP, ASOF, BASE, EV, FP, GROUPS, IM, ORACLES, PR, SELECTED
+from evigraph.operators.live_groups import LiveGroups
+from evigraph.plans.scratch import materialize, new_path
+from evigraph.oracle import _BEST, _COS, _SIX, _TOP, ASOF, BASE, EDGES, EV, FP, GROUPS, IM, ORACLES, PR, SELECTED, _closure
+from evigraph.oracle import _good as _sql_good
 from evigraph.queries import COSINE, FIRST, HAMMING, LAST, MIN_SCORE, _good, _groups, _scored, _selected, _topk, query
 from evigraph.sources import views as V
+from evigraph.sources.tables import Table
 
 #: Queries without SQL: pixels of made images.
 ROWS_ONLY = ("blur_variance", "quality_gate", "dct_hash", "homography_ransac")
@@ -331,6 +336,63 @@ def chunked_update(s, d):
     return I.updated(items, results, ["image_quality_status"]).groupBy("image_quality_status").agg(F.count("*").alias("n"))
 
 
+_VERSIONS = """v1 AS (SELECT *, relationship_score AS score, relationship_level AS level FROM pr WHERE relationship_score < 0.95),
+v2 AS (SELECT image_a_id, image_b_id, CASE WHEN relationship_score >= 0.9 THEN 0.25 ELSE relationship_score END AS score, relationship_level AS level FROM pr),
+v3 AS (SELECT image_a_id, image_b_id, score, CASE level WHEN 'unverifiable' THEN 'unrelated' ELSE level END AS level FROM v2), v4 AS (SELECT * FROM v3 WHERE score < 0.5),
+every AS (SELECT 1 AS version, score, level FROM v1 UNION ALL SELECT 2, score, level FROM v2 UNION ALL SELECT 3, score, level FROM v3 UNION ALL SELECT 4, score, level FROM v4 UNION ALL SELECT 5, score, level FROM v2)"""
+
+
+@sql(f"WITH {PR}, {_VERSIONS} SELECT version, level AS relationship_level, count(*) AS n, count(*) FILTER (score = 0.25) AS renewed FROM every GROUP BY ALL")
+def versioned_pairs(s, d):
+    """Five versions of a stored table, and what each holds: written, renewed (twice, by one batch), changed, thinned out and taken back."""
+    pr = V.pairs(s, d)
+    table = Table(s, new_path(s, "library"), ["image_a_id", "image_b_id"])
+    table.upsert(pr.where("relationship_score < 0.95"), "first")
+    for _ in range(2):
+        table.upsert(pr.where("relationship_score >= 0.9").withColumn("relationship_score", F.lit(0.25)), "renewed")
+    table.update(pr.where("relationship_level = 'unverifiable'").select("image_a_id", "image_b_id", F.lit("unrelated").alias("relationship_level")), "changed")
+    table.delete(table.read().where("relationship_score >= 0.5"), "thinned")
+    table.restore(2, "back")
+    counts = [table.read(v).groupBy("relationship_level").agg(F.count("*").alias("n"), F.count_if(F.col("relationship_score") == 0.25).alias("renewed")).withColumn("version", F.lit(v)) for v in range(1, 6)]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+@sql(f"WITH RECURSIVE {IM}, {PR}, good AS ({_sql_good(0.8)}), {_closure('g', 'SELECT image_a_id AS a, image_b_id AS b FROM good WHERE (image_a_id::INT + image_b_id::INT) % 5 <> 0')} SELECT id, group_id FROM g")
+def live_groups(s, d):
+    """Groups after three batches of pairs, one of them twice, and the removal of a fifth of the pairs."""
+    pairs = materialize(_good(s, d).select(F.col("image_a_id").alias("a"), F.col("image_b_id").alias("b")), "pairs")
+    groups = LiveGroups(s, new_path(s, "groups"))
+    turn = F.col("a").cast("int") % 3
+    for k in (0, 1, 1, 2):
+        groups.add(pairs.where(turn == k), f"batch-{k}")
+    groups.remove(pairs.where((F.col("a").cast("int") + F.col("b").cast("int")) % 5 == 0), "removed")
+    return groups.groups().select(F.col("node").alias("id"), F.col("component").alias("group_id"))
+
+
+_DATED = f"{BASE}, dated AS (SELECT image_a_id AS a, image_b_id AS b, greatest(coalesce(x.checkin_date, ''), coalesce(y.checkin_date, '')) AS w FROM good JOIN r x ON x.id = image_a_id JOIN r y ON y.id = image_b_id)"
+_CUTOFFS = tuple(f"{y}{m}" for y in range(1992, 1999) for m in ("0630", "1231"))
+
+
+@sql(f"""{_DATED}, cuts AS (SELECT unnest([{", ".join(f"'{c}'" for c in _CUTOFFS)}]) AS cutoff), e AS (SELECT cutoff, a, b FROM dated, cuts WHERE w <= cutoff UNION SELECT cutoff, b, a FROM dated, cuts WHERE w <= cutoff),
+t AS (SELECT cutoff, a AS x, a AS y FROM e UNION SELECT t.cutoff, t.x, e.b FROM t JOIN e ON t.cutoff = e.cutoff AND t.y = e.a) SELECT cutoff, x AS id, min(y) AS group_id FROM t GROUP BY cutoff, x""")
+def as_of_all_dates(s, d):
+    """Groups at the end of each half-year, all from one spanning forest."""
+    forest = T.spanning_forest(T.dated_pairs(_good(s, d), V.items(s, d)))
+    return T.groups_at(forest, s.createDataFrame([(c,) for c in _CUTOFFS], "cutoff string"))
+
+
+@sql(f"{_DATED}, n AS (SELECT count(*) AS nodes FROM (SELECT a FROM dated UNION SELECT b FROM dated)), {_closure('g', EDGES)} SELECT count(DISTINCT group_id) AS groups, any_value(nodes) AS nodes, any_value(nodes) - count(DISTINCT group_id) AS edges FROM g, n")
+def forest_size(s, d):
+    """A spanning forest has as many edges as nodes less groups."""
+    forest = T.spanning_forest(T.dated_pairs(_good(s, d), V.items(s, d)))
+    size = forest.agg(F.count("*").alias("edges"))
+    ends = forest.select(F.explode(F.array("a", "b")).alias("id")).distinct().agg(F.count("*").alias("nodes"))
+    return ends.crossJoin(size).select((F.col("nodes") - F.col("edges")).alias("groups"), "nodes", "edges")
+
+
 def _made_images(s, d):
     """Grey images of 8 x 8 made of vectors, as the image source would decode them."""
     level = lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v * 400 + 128)))

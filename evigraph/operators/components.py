@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from evigraph.plans.scratch import drop, materialize
@@ -10,8 +10,11 @@ from evigraph.plans.scratch import drop, materialize
 MAX_ROUNDS = 60
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The table as it is written, and its count and checksum, which the write itself observes."""
+    seen = Observation()
+    out = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
+    return out, (seen.get["n"], seen.get["sum"])
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -23,8 +26,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     loops = both.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
-    now = materialize(both.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = _state(now)
+    now, state = _written(both.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
@@ -33,10 +35,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         large = ways.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        following = materialize(moved.unionByName(root.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        before, state = state, _state(following)
-        drop(now)
-        now = following
+        before, last = state, now
+        now, state = _written(moved.unionByName(root.select("u", F.col("m").alias("v"))).distinct())
+        drop(last)
         if state == before:
             break
     else:
