@@ -12,14 +12,17 @@ from evigraph.operators import display as D
 from evigraph.operators import forest as T
 from evigraph.operators import groups as G
 from evigraph.operators import intake as I
+from evigraph.operators import matching as X
 from evigraph.operators import reports as R
 from evigraph.operators.live_groups import LiveGroups
+from evigraph.operators.rollups import Rollups
 from evigraph.plans.scratch import materialize, new_path
 from evigraph.oracle import _BEST, _COS, _SIX, _TOP, ASOF, BASE, EDGES, EV, FP, GROUPS, IM, ORACLES, PR, SELECTED, _closure
 from evigraph.oracle import _good as _sql_good
 from evigraph.queries import COSINE, FIRST, HAMMING, LAST, MIN_SCORE, _good, _groups, _scored, _selected, _topk, query
 from evigraph.sources import views as V
 from evigraph.sources.tables import Table
+from evigraph.streaming import ledger as J
 
 #: Queries without SQL: pixels of made images.
 ROWS_ONLY = ("blur_variance", "quality_gate", "dct_hash", "homography_ransac")
@@ -393,6 +396,60 @@ def forest_size(s, d):
     return ends.crossJoin(size).select((F.col("nodes") - F.col("edges")).alias("groups"), "nodes", "edges")
 
 
+@sql(f"WITH {IM} SELECT id[1:6] AS job, count(*) AS total, count(*) FILTER (image_quality_status IS NOT NULL OR analysis_status = 'COMPLETED') AS processed, count(*) FILTER (analysis_status = 'COMPLETED') AS completed FROM im GROUP BY 1")
+def job_ledger(s, d):
+    """Counts of jobs by a stream over three files of item events, shuffled, some of them twice."""
+    items = V.items(s, d).select(F.substring("id", 1, 6).alias("job"), F.col("id").alias("item"), "image_quality_status", "analysis_status")
+    step = lambda name, rows: rows.select("job", "item", F.lit(name).alias("step"))
+    done = step("completed", items.where("analysis_status = 'COMPLETED'"))
+    events = step("registered", items).unionByName(step("embedded", items.where("image_quality_status IS NOT NULL"))).unionByName(done).unionByName(done.where("item LIKE '%1'"))
+    source = materialize(events.repartition(3, F.xxhash64("item", "step", F.rand(1))), "events")
+    table, key = Table(s, new_path(s, "jobs"), ["job"]), "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(key)
+    s.conf.set(key, J.PROVIDER)
+    try:
+        stream = s.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(source.scratch_path)
+        J.keep(stream, table, new_path(s, "ledger")).awaitTermination()
+    finally:
+        s.conf.set(key, before)
+    return table.read().select("job", "total", "processed", "completed")
+
+
+def _stored_rollups(s, d):
+    """Roll-ups of all days, of which those of 1996 came with half of their images first."""
+    chosen = materialize(R.selected(V.items(s, d), _good(s, d), None, None).select("id", "checkin_date", "customer_id", "reused", "overlay", "scanned"), "chosen")
+    rollups = Rollups(s, new_path(s, "rollups"))
+    rollups.put(chosen.where("checkin_date < '1996' OR id LIKE '%1' OR id LIKE '%2'"), "early")
+    rollups.put(chosen.where("checkin_date >= '1996'"), "late")
+    return rollups
+
+
+@sql(ORACLES["daily_rollup"])
+def stored_daily_rollup(s, d):
+    return _stored_rollups(s, d).daily(FIRST, LAST)
+
+
+@sql(ORACLES["dashboard_headline"])
+def stored_headline(s, d):
+    return _stored_rollups(s, d).headline(FIRST, LAST)
+
+
+_POINTS = "pt AS (SELECT vec_id AS image, i AS point, list_slice(embedding, 8 * i + 1, 8 * i + 8)::DOUBLE[] AS v FROM embeddings, (SELECT unnest(range(8))::INT AS i))"
+_MET = "met AS (SELECT a, b, x.point AS pa, y.point AS pb, list_sum(list_transform(list_zip(x.v, y.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM ps JOIN pt x ON x.image = a JOIN pt y ON y.image = b)"
+_CLEAR = "SELECT a, b, pa, pb, d FROM (SELECT *, row_number() OVER w AS nth, lead(d) OVER w AS next FROM met WINDOW w AS (PARTITION BY a, b, {0} ORDER BY d, {1})) WHERE nth = 1 AND d < 0.81 * next"
+
+
+@sql(f"WITH ps AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.label = y.label AND y.vec_id BETWEEN x.vec_id + 1 AND x.vec_id + 40), {_POINTS}, {_MET}, f AS ({_CLEAR.format('pa', 'pb')}), g AS ({_CLEAR.format('pb', 'pa')}) SELECT a, b, pa, pb, {_SIX.format('sqrt(f.d)')} AS distance FROM f JOIN g USING (a, b, pa, pb)")
+def descriptor_matches(s, d):
+    """Mutual matches of eight descriptors of eight numbers for each vector, between vectors of one label that are near in number."""
+    e = V.table(s, d, "embeddings")
+    own = e.select("vec_id", "label")
+    pairs = own.alias("x").join(own.alias("y"), F.expr("x.label = y.label AND y.vec_id BETWEEN x.vec_id + 1 AND x.vec_id + 40")).select(F.col("x.vec_id").alias("a"), F.col("y.vec_id").alias("b"))
+    points = e.select(F.col("vec_id").alias("image"), F.posexplode(F.array(*[F.slice("embedding", 8 * i + 1, 8) for i in range(8)])).alias("point", "vector"))
+    out = X.mutual_matches(pairs, points, 0.9)
+    return out.select("a", "b", "pa", "pb", (F.floor(F.col("distance") * 1e6 + 0.5) / 1e6).alias("distance"))
+
+
 def _made_images(s, d):
     """Grey images of 8 x 8 made of vectors, as the image source would decode them."""
     level = lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v * 400 + 128)))
