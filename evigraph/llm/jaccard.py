@@ -11,7 +11,8 @@ shared token is the first one, at places i and j, then ``|x & y| <= min(|x| - i,
 3. A list's leader is its class that shares most prefix tokens with others (an original shares more than its altered copies). First
    all others are paired with their leader, and links join components. Then classes outside a list's largest component are paired
    with all classes of other components, so no link between two components is lost. Both keep a pair only if sizes and places allow
-   a link, which ends nearly all pairs of classes that are alike, but not enough.
+   a link, and the second only if parities of both sets' tokens do (:func:`parity`), which ends nearly all pairs of classes that are
+   alike, but not enough, before they leave the join; sets far longer than ``BITS`` tokens are left to the later steps.
 4. Candidates must share prefix tokens under each of ``OTHER_ORDERS`` too; these filters meet by class, before token sets are moved.
    What remains is verified on the whole sets.
 
@@ -43,6 +44,8 @@ MAX_BROADCAST_IDS = 1 << 20
 #: Tokens that are counted together in one part, as far as MAX_PARTS parts allow; a part's token takes 4 bytes.
 PART_TOKENS, MAX_PARTS = 1 << 22, 1 << 17
 FLUSH = 1 << 21
+#: Bits of a set's parity; sets of up to about as many tokens can be told apart by them.
+BITS = 512
 #: Classes of a task that are remembered, to send copies within it once.
 REMEMBERED = 1 << 20
 
@@ -71,21 +74,27 @@ def fingerprint(tokens: np.ndarray) -> int:
     return int(W.mix(np.array([total], W.U), 9).view(np.int64)[0])
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """``BITS`` bits, each the parity of how many tokens fall on it: where two sets' bits differ, so do the sets, in a token at least."""
+    return np.packbits(np.bincount((W.mix(tokens, 31) % W.U(BITS)).astype(np.int64), minlength=BITS) & 1).view(np.int64)
+
+
 def prefix_length(n: int) -> int:
     """n - ceil(t n) + 1."""
     return n + (-NUM * n) // DEN + 1
 
 
 def tokenized(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, key, n, tokens) for each row: the class, the set's size and the bytes of its sorted hashes; key 0 of an empty set."""
+    """(doc_id, key, n, tokens, bits) for each row: the class, the set's size, the bytes of its sorted hashes and its
+    :func:`parity`; key 0 of an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in W.chunks(batch):
                 sets = shingle_sets(chunk.column(1), width)
-                yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "key", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parity(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "key", "n", "tokens", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n int, tokens binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n int, tokens binary, bits array<long>")
 
 
 def _new_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -262,16 +271,23 @@ def _led(lists: DataFrame) -> DataFrame:
     return lists.alias("a").join(leads.alias("b"), F.expr("a.token = b.token AND a.key <> b.key AND " + _possible("a", "b"))).select(*_ordered()).distinct()
 
 
-def _across(lists: DataFrame) -> DataFrame:
+def _alike(a: str, b: str) -> str:
+    """SQL: the tokens in which both sets differ, as many as their bits do at least, leave enough in common for a link."""
+    differ = " + ".join(f"bit_count({a}.bits{i} ^ {b}.bits{i})" for i in range(BITS // 64))
+    return f"({a}.n + {b}.n - ({differ})) * {DEN + NUM}L >= ({a}.n + {b}.n) * {2 * NUM}L"
+
+
+def _across(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """Distinct pairs (a < b) of classes of a list, of other components, that may be linked. ``lists`` has token, key, n, at, comp."""
     parts = lists.groupBy("token", "comp").agg(F.count("*").alias("k"), F.min("n").alias("least"))
     mixed = parts.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("m"), F.min("least").alias("least"), F.count("*").alias("c")).where("c > 1")
     rows = materialize(lists.join(mixed.select("token", F.col("m.comp").alias("most"), "least"), "token"), "mixed")
+    bits = sets.select("key", *[F.col("bits")[i].alias(f"bits{i}") for i in range(BITS // 64)]).dropDuplicates(["key"])
     # with the least size of the list, or the least one that may be linked, its place must allow a link
     least = F.greatest(F.col("least"), F.ceil(F.col("n") * NUM / DEN))
     minor = rows.where((F.col("comp") != F.col("most")) & ((F.col("n") - F.col("at")) * (DEN + NUM) >= (F.col("n") + least) * NUM))
-    met = F.expr("a.token = b.token AND a.comp <> b.comp AND (b.comp = b.most OR a.key < b.key) AND " + _possible("a", "b"))
-    return minor.alias("a").join(rows.alias("b"), met).select(*_ordered()).distinct()
+    met = F.expr("a.token = b.token AND a.comp <> b.comp AND (b.comp = b.most OR a.key < b.key) AND " + _possible("a", "b") + " AND " + _alike("a", "b"))
+    return minor.join(bits, "key").alias("a").join(rows.join(bits, "key").alias("b"), met).select(*_ordered()).distinct()
 
 
 def _prefix(tokens: np.ndarray, seed: int) -> np.ndarray:
@@ -338,7 +354,7 @@ def components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     release(spark)
     # from here on only the tokens of classes in a list are needed
     member = materialize(sets.select("doc_id", "key", F.col("n").cast("long").alias("n_shingles")), "members")
-    compared = materialize(sets.join(small_side(degrees.select("key"), MAX_BROADCAST_IDS, n_keys), "key", "left_semi").select("key", "n", "tokens"), "compared")
+    compared = materialize(sets.join(small_side(degrees.select("key"), MAX_BROADCAST_IDS, n_keys), "key", "left_semi").select("key", "n", "tokens", "bits"), "compared")
     drop(sets)
     led = materialize(_led(lists.join(small_side(degrees, MAX_BROADCAST_IDS, n_keys), "key")), "pairs")
     found, comp = _verified(compared, led, None)
@@ -347,7 +363,7 @@ def components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         labelled = lists.join(small_side(comp, MAX_BROADCAST_IDS), F.col("key") == F.col("node"), "left").select("token", "key", "n", "at", F.coalesce("component", "key").alias("comp"))
     else:
         labelled = lists.withColumn("comp", F.col("key"))
-    rest = materialize(_across(labelled).join(led, ["a", "b"], "left_anti"), "pairs")
+    rest = materialize(_across(labelled, compared).join(led, ["a", "b"], "left_anti"), "pairs")
     found, comp = _verified(compared, rest, found, comp)
     for table in (led, rest, degrees, lists, found, compared):
         drop(table)

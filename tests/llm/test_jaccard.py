@@ -112,8 +112,6 @@ def test_edge_rows(spark):
     assert sorted(((r.doc_id, r.component_id) for r in J.components(alone).collect()), key=str) == [(4, 4), (None, 4), (None, None)]
 
 
-
-
 def test_rows_without_id_are_linked_and_carry_chains(spark):
     text = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
     rows = [(1, text(0, 60)), (None, text(4, 64)), (2, text(8, 68)), (None, text(300, 340)), (None, text(301, 341)), (None, None), (9, text(400, 402))]
@@ -134,3 +132,44 @@ def test_groups_that_are_alike_but_not_enough(spark):
         rows.append((i, " ".join(own)))
     rows += [(1000 + i, " ".join([*[f"o{i}x{j}" for j in range(rng.randrange(3, 50))], *passage])) for i in range(120)]
     assert got(J.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))) == brute(rows)
+
+
+def near_threshold(n, seed=4):
+    """Documents that keep 19 of 24 common blocks of 12 words: similarities around 0.65, few links."""
+    rng = random.Random(seed)
+    blocks = [" ".join(f"k{b}x{j}" for j in range(12)) for b in range(24)]
+    return [(i, " ".join(blocks[b] if b in keep else f"u{i}x{b}" for b in range(24))) for i in range(n) for keep in [set(rng.sample(range(24), 19))]]
+
+
+def brute_counted(rows):
+    """As :func:`brute`, from a product of the matrix of documents and the shingles that several of them hold."""
+    sets = [shingles(t) for _, t in rows]
+    n = Counter(x for s in sets for x in s)
+    place = {x: i for i, x in enumerate(x for x, k in n.items() if k > 1)}
+    m = np.zeros((len(rows), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [place[x] for x in s if x in place]] = 1
+    size, common = np.array([len(s) for s in sets]), m @ m.T
+    near = 100 * common >= 75 * (size[:, None] + size - common)
+    least = np.arange(len(rows))
+    while (new := np.where(near, least, len(rows)).min(1)).tolist() != least.tolist():
+        least = new
+    return sorted(((rows[i][0], int(size[i]), rows[least[i]][0]) for i in range(len(rows))), key=str)
+
+
+def test_pairs_of_a_group_near_the_threshold_end_in_the_join(spark, monkeypatch):
+    made, links = [], J.links
+    monkeypatch.setattr(J, "links", lambda pairs, chosen: made.append(pairs.count()) or links(pairs, chosen))
+    rows = near_threshold(600)
+    assert got(J.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == brute_counted(rows)
+    assert sum(made) < 600 * 599 / 2 / 20
+
+
+def test_parity_never_drops_a_link():
+    rng = np.random.default_rng(5)
+    for size in (3, 40, 300, 4000):
+        for _ in range(40):
+            base = rng.integers(0, 2**63, size).astype(np.uint64)
+            a, b = np.unique(base[rng.random(size) < 0.9]), np.unique(base[rng.random(size) < 0.9])
+            differ = sum(int(x).bit_count() for x in (J.parity(a) ^ J.parity(b)).view(np.uint64))
+            assert differ <= len(np.setxor1d(a, b))
