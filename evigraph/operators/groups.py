@@ -42,7 +42,12 @@ def as_of_groups(items: DataFrame, pairs: DataFrame, min_score: float, cutoff: s
 
 def merged_by_customer(grouped: DataFrame, items: DataFrame) -> DataFrame:
     """(id, group_id) after groups that share a customer are joined, by one edge from each group to the customer's first."""
-    owners = grouped.join(resolved_items(items).select("id", "customer_id"), "id").where("customer_id IS NOT NULL").select("group_id", "customer_id").distinct()
+    return joined_by_owner(grouped, resolved_items(items).select("id", "customer_id"))
+
+
+def joined_by_owner(grouped: DataFrame, owner: DataFrame) -> DataFrame:
+    """As :func:`merged_by_customer`, with each item's customer given as ``owner`` (id, customer_id)."""
+    owners = grouped.join(owner, "id").where("customer_id IS NOT NULL").select("group_id", "customer_id").distinct()
     first = owners.groupBy("customer_id").agg(F.min("group_id").alias("first"))
     merged = connected_components(owners.join(first, "customer_id").select(F.col("group_id").alias("src"), F.col("first").alias("dst")))
     joined = grouped.join(merged.withColumnRenamed("node", "group_id"), "group_id", "left")

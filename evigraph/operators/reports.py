@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.functions.metadata import bangkok, boxes, day_month_year, in_range, scanned
+from evigraph.functions.metadata import bangkok, boxes, day_month_year, in_range, not_after, scanned
 from evigraph.sources.archive import ROOT
-from evigraph.operators.groups import as_of_groups, merged_by_customer, qualified, resolved_items
+from evigraph.operators.groups import groups, joined_by_owner, qualified, resolved_items
+from evigraph.plans.scratch import materialize
 
 PENDING_DONE = ("COMPLETED", "CANCELLED", "FAILED")
 ACTIVE_DONE = ("COMPLETED", "CANCELLED", "INTERRUPTED", "FAILED")
@@ -50,13 +51,21 @@ def duplicate_jobs(chosen: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def report_images(items: DataFrame, pairs: DataFrame, min_score: float, first: str | None, last: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The images of all groups that the period touches, merged by customer, with chosen (of the period); qualified pairs; chosen ids."""
-    good = qualified(pairs, items, ("exact_file", "same_image", "edited_or_cropped"), min_score)
-    chosen = selected(items, good, first, last).select("id", F.lit(True).alias("chosen"))
-    grouped = as_of_groups(items, pairs, min_score, last)
+    """The images of all groups that the period touches, merged by customer, as (id, group_id, customer_id, checkin_date, technician_id,
+    overlay, chosen), chosen being those of the period; qualified pairs; chosen ids.
+
+    Items are resolved and pairs qualified once. Groups are as of the period's end: pairs of later items leave before components are built.
+    """
+    overlay = F.size(boxes(F.col("ai_metadata_json"), "datetime")) > 0
+    known = materialize(resolved_items(items).select("id", "image_quality_status", "customer_id", "checkin_date", "technician_id", overlay.alias("overlay")), "items")
+    good = materialize(qualified(pairs, known, ("exact_file", "same_image", "edited_or_cropped"), min_score).select("image_a_id", "image_b_id"), "pairs")
+    chosen = known.where(in_range(F.col("checkin_date"), first, last)).select("id", F.lit(True).alias("chosen"))
+    early = known.where(not_after(F.col("checkin_date"), last)).select("id")
+    both = good.join(early.withColumnRenamed("id", "image_a_id"), "image_a_id", "left_semi").join(early.withColumnRenamed("id", "image_b_id"), "image_b_id", "left_semi")
+    grouped = materialize(groups(both), "groups")
     touched = grouped.join(chosen, "id", "left_semi").select("group_id").distinct()
-    merged = merged_by_customer(grouped.join(touched, "group_id", "left_semi"), items)
-    rows = merged.join(resolved_items(items), "id").join(chosen, "id", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False))).withColumn("overlay", F.size(boxes(F.col("ai_metadata_json"), "datetime")) > 0)
+    merged = joined_by_owner(grouped.join(touched, "group_id", "left_semi"), known.select("id", "customer_id"))
+    rows = merged.join(known.drop("image_quality_status"), "id").join(chosen, "id", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
     return rows, good, chosen
 
 

@@ -15,6 +15,7 @@ from evigraph.operators import groups as G
 from evigraph.operators import library as L
 from evigraph.operators import reports as R
 from evigraph.operators.components import connected_components
+from evigraph.plans.scratch import materialize
 from evigraph.sources import views as V
 
 MIN_SCORE = 0.8
@@ -251,7 +252,8 @@ def customer_merged_groups(s, d):
 
 @query
 def group_detail_nested(s, d):
-    out = G.detail(_groups(s, d), V.items(s, d), _good(s, d))
+    good = materialize(_good(s, d).select("image_a_id", "image_b_id"), "pairs")
+    out = G.detail(materialize(G.groups(good), "groups"), V.items(s, d), good)
     return out.select("group_id", "size", "relationship_count", text("customers").alias("customers"), text("technicians").alias("technicians"), text("members").alias("members"))
 
 
