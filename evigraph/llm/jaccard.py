@@ -42,7 +42,7 @@ MAX_FREQUENT = 1 << 20
 #: A broadcast of ids stays under 8 bytes x this.
 MAX_BROADCAST_IDS = 1 << 20
 #: Tokens that are counted together in one part, as far as MAX_PARTS parts allow; a part's token takes 4 bytes.
-PART_TOKENS, MAX_PARTS = 1 << 22, 1 << 17
+PART_TOKENS, MAX_PARTS = 1 << 20, 1 << 17
 FLUSH = 1 << 21
 #: Bits of a set's parity; sets of up to about as many tokens can be told apart by them.
 BITS = 512
