@@ -1,8 +1,10 @@
 """Secret scanning: pattern candidates, then a random forest that removes false positives.
 
-Candidates are the maximal runs of ``[A-Za-z0-9+/_-]`` of 16 characters or more with up to two ``=`` behind, the whole values of 8 characters or more that are
-assigned to a secret-like name, bodies of private keys between their PEM lines, signed tokens of base64 parts joined by points, and
-passwords within URLs; those that overlap are one. Of each the forest sees length, character classes and their changes, the mean log probability of its
+Candidates are the maximal runs of ``[A-Za-z0-9+/_-]`` of 16 characters or more with up to two ``=`` behind, values of any length that
+are assigned to a secret-like name, bodies of private keys, signed tokens of base64 parts joined by points, and passwords within URLs;
+those that overlap are one. An assigned value in quotes ends at the closing quote of its line, any other at a blank, quote or one of
+``<>&|,;``. A key's body ends at the end line of the same label, whatever stands in between, PGP blocks too. A URL's password ends at the
+last ``@`` before a blank, ``"``, ``<``, ``>`` or the next ``://``. Of each the forest sees length, character classes and their changes, the mean log probability of its
 character transitions, its entropy, how much of it dictionary words cover, and what stands beside it: paths, quotes, an assignment,
 secret-like and harmless words. Transition probabilities and the dictionary come from the labelled findings' own texts.
 
@@ -32,10 +34,13 @@ from evigraph.plans.scratch import materialize, small_side
 SECRET_NAMES = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "auth", "bearer", "credential", "private_key", "client_secret")
 HARMLESS_NAMES = ("commit", "sha", "digest", "checksum", "md5", "uuid", "etag", "hash", "image", "example", "version", "isbn", "card", "order", "revision", "font")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-ASSIGNED = re.compile(r"(?:%s)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>#%%&*$|,;]{8,}+)" % "|".join(map(re.escape, SECRET_NAMES)), re.I)
-PEM = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----([^-]{16,}+)-----END")
+ASSIGNED = re.compile(
+    r"(?:%s)[\"']?\s*+[:=]\s*+(?:\"((?:[^\"\\\n]|\\.)++)\"|'((?:[^'\\\n]|\\.)++)'|[\"']?([^\s\"'<>&|,;]++))" % "|".join(map(re.escape, SECRET_NAMES)),
+    re.I,
+)
+KEY_LINE = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----")
 SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]+){1,2}")
-URL_PASSWORD = re.compile(r"://[^\s/:@]{0,64}:([^\s/@]{4,}+)@")
+URL_PASSWORD = re.compile(r"://[^\s/:@]*+:((?:(?!://)[^\s\"<>])+)@")
 #: Characters of the text on either side that a finding carries.
 SIDE = 40
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789+/=_-. "
@@ -63,9 +68,21 @@ def learn_language(texts: list[str], most_words: int = 4000) -> Language:
     return Language(np.log2(counts / counts.sum(1, keepdims=True)), frozenset(often))
 
 
+def key_bodies(text: str) -> list[tuple[int, int]]:
+    """What stands between each key's begin line and the next end line of the same label; a key without one is none."""
+    out, opened = [], {}
+    for m in KEY_LINE.finditer(text):
+        if m[1] == "BEGIN":
+            opened.setdefault(m[2], m.end())
+        elif (begin := opened.pop(m[2], None)) is not None and begin < m.start():
+            out.append((begin, m.start()))
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """Begin and end of each candidate, none within another, in order."""
-    spans = {m.span() for p in (RUN, SIGNED) for m in p.finditer(text)} | {m.span(1) for p in (ASSIGNED, PEM, URL_PASSWORD) for m in p.finditer(text)}
+    spans = {m.span() for p in (RUN, SIGNED) for m in p.finditer(text)} | {m.span(1) for m in URL_PASSWORD.finditer(text)}
+    spans |= {m.span(m.lastindex) for m in ASSIGNED.finditer(text)} | set(key_bodies(text))
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
         if out and a < out[-1][1]:
@@ -104,9 +121,10 @@ def features(found: str, left: str, right: str, language: Language) -> list[floa
 def example_findings(texts: list[str], n: int = 4000, seed: int = 11) -> list[tuple[str, str, str, int]]:
     """(found, left, right, label) made by rule from prose, for tables that come without labelled findings.
 
-    Half are secrets: random hex, base64 and keys with public prefixes, four fifths of them assigned to a secret-like name, and one in
-    eight a private key's body, a signed token or a password in a URL. The others
-    are long words and joined words of the prose, paths, addresses, numbers, identifiers, and digests that are named as such.
+    Half are secrets: random hex, base64 and keys with public prefixes, four fifths of them assigned to a secret-like name, one in
+    eight a private key's body (some encrypted, some PGP blocks), a signed token or a password in a URL, and one in eight a password
+    that is assigned. The others are words, phrases in quotes, long words and joined words of the prose, paths, addresses, ports,
+    numbers, identifiers, and digests that are named as such.
     """
     rng = random.Random(seed)
     prose = [t.split() for t in texts if t and len(t.split()) > 20] or [["word"] * 30]
@@ -129,18 +147,26 @@ def example_findings(texts: list[str], n: int = 4000, seed: int = 11) -> list[tu
             if i % 16 == 1:
                 case = rng.randrange(3)
                 if case == 0:
-                    kind = rng.choice(("", "RSA ", "EC ", "OPENSSH "))
-                    left, right = f"{left}-----BEGIN {kind}PRIVATE KEY-----", f"-----END {kind}PRIVATE KEY-----{right}"
-                    found = "\n" + "\n".join(some(b64, 64) for _ in range(rng.randrange(2, 26))) + "\n"
+                    kind = rng.choice(("PRIVATE KEY", "RSA PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY", "PGP PRIVATE KEY BLOCK"))
+                    head = rng.choice(("", "", f"Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{some(hexed.upper(), 32)}\n\n", "Version: 2\n\n"))
+                    left, right = f"{left}-----BEGIN {kind}-----", f"-----END {kind}-----{right}"
+                    found = "\n" + head + "\n".join(some(b64, 64) for _ in range(rng.randrange(2, 26))) + "\n"
                 elif case == 1:
                     found = ".".join(("eyJ" + some(b64[:62], rng.randrange(17, 40)), "eyJ" + some(b64[:62], rng.randrange(30, 120)), some(b64[:62] + "-_", 43)))
                     left += rng.choice(("", "Authorization: Bearer ", "jwt="))
                 else:
                     scheme = rng.choice(("postgres", "mysql", "redis", "amqp", "https"))
                     left, right = f"{left}{scheme}://{rng.choice(('app', 'root', 'svc', ''))}:", f"@{rng.choice(('db', 'cache', '10.0.0.7'))}:5432/x{right}"
-                    found = some(b64[:62] + "!#$%", rng.randrange(8, 24))
+                    found = some(b64[:62] + "!#$%@/", rng.randrange(6, 24))
                 out.append((found, left, right, 1))
                 continue
+            if i % 16 == 3:
+                quote = rng.choice(('"', "'"))
+                found = some(b64[:62], rng.randrange(2, 16)) + some("0123456789$*#%!.^", rng.randrange(2, 6)) + some(b64[:52], rng.randrange(1, 5))
+                if rng.random() < 0.3:
+                    found = re.sub(r"\W", "", joined(""))[: rng.randrange(4, 9)] + some("$*#%!&;,", 2) + some(b64[52:62], rng.randrange(2, 6))
+                out.append((found, left + rng.choice(SECRET_NAMES) + rng.choice((" = ", "=", ": ", ":", "      = ")) + quote, quote + right, 1))
+                continue
             found = rng.choice((some(hexed, rng.choice((32, 40, 64))), some(b64, rng.randrange(20, 64)), "AKIA" + some(b64[:26] + "234567", 16), rng.choice(("ghp_", "sk-", "xoxb-")) + some(b64[:62], 36), some(b64[:62] + "-_", rng.randrange(20, 48))))
             if rng.random() < 0.8:
                 quote = rng.choice(('"', "'", ""))
@@ -148,8 +174,17 @@ def example_findings(texts: list[str], n: int = 4000, seed: int = 11) -> list[tu
                 right = quote + right
             out.append((found, left, right, 1))
             continue
-        case = rng.randrange(7)
-        if case == 0:
+        case = rng.randrange(10)
+        if case == 7:
+            quote = rng.choice(('"', "'", ""))
+            found, left, right = rng.choice(beside().split()), left + rng.choice(SECRET_NAMES) + rng.choice((": ", " = ", "=", ":")) + quote, quote + right
+        elif case == 8:
+            quote = rng.choice(('"', "'"))
+            found, left, right = " ".join(beside().split()[: rng.randrange(2, 9)]), left + rng.choice(SECRET_NAMES) + rng.choice((": ", " = ")) + quote, quote + right
+        elif case == 9:
+            found = f"{rng.randrange(80, 65536)}/{joined(rng.choice('-/_'))}"
+            left, right = f"{left}{rng.choice(('http', 'https', 'ftp'))}://{joined('.')}:", rng.choice(("@", "@v")) + str(rng.randrange(9)) + right
+        elif case == 0:
             found = joined("")
         elif case == 1:
             found = joined(rng.choice("-_/"))
@@ -181,6 +216,16 @@ def fit(spark: SparkSession, findings: list[tuple[str, str, str, int]], trees: i
     return SecretModel(language, RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7).fit(train))
 
 
+def labelled_findings(table: DataFrame, most: int = 20_000) -> list[tuple[str, str, str, int]]:
+    """Rows for :func:`fit` of a table of labelled findings (found, left, right, label): of each label ``most`` by a hash, the same in
+    every run. Null sides are empty; rows without ``found`` or with a label other than 0 and 1 are left out. Extra columns are not read.
+    """
+    own = table.select("found", F.coalesce("left", F.lit("")).alias("left"), F.coalesce("right", F.lit("")).alias("right"), F.col("label").cast("int").alias("label"))
+    own = own.withColumn("h", F.xxhash64("found", "left", "right")).where(F.length("found") > 0)
+    rows = [r for label in (0, 1) for r in own.where(F.col("label") == label).orderBy("h", "found", "left", "right").limit(most).collect()]
+    return [(r.found, r.left, r.right, r.label) for r in rows]
+
+
 def sample_texts(docs: DataFrame, most: int = 400) -> list[str]:
     """About ``most`` texts, the same in every run, chosen by a hash of doc_id and text; 4000 characters of each, for :func:`example_findings` only."""
     known, unit = docs.where("text IS NOT NULL").select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("h"), "text"), 1 << 30

@@ -71,3 +71,63 @@ def test_edge_rows(spark, model):
     assert out == {(1, None, 9), (2, 0, 9), (3, n, n), (None, n, n), (4, 100018, 100018)}
     assert S.redact(docs, model).count() == 6
     assert S.scan(docs.limit(0), model).count() == 0 and S.redact(docs.limit(0), model).count() == 0
+
+
+def _hidden_cases():
+    """(text, secret): forms that ``example_findings`` can't make, or makes with other parts."""
+    rsa = "\nProc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,0A1B2C3D4E5F6071\n\n" + "\n".join("q8JvN2xKfTz5RwYb0HcLm7PdSg1UeAo9iXk4" + str(k) for k in range(9)) + "\n"
+    pgp = "\nVersion: GnuPG v2\nComment: no-one - knows\n\n" + "\n".join("lQOYBF3kXz8BCADk2vT+Qw7mRs/0pLnY" + str(k) for k in range(9)) + "\n=x7Kq\n"
+    return [
+        ('password = "pa$$w0rdLongTail1234" then', "pa$$w0rdLongTail1234"),
+        ("password = 'kT9;x,4|Zp&Qw*7#' then", "kT9;x,4|Zp&Qw*7#"),
+        (f"-----BEGIN RSA PRIVATE KEY-----{rsa}-----END RSA PRIVATE KEY-----", rsa),
+        (f"-----BEGIN PGP PRIVATE KEY BLOCK-----{pgp}-----END PGP PRIVATE KEY BLOCK-----", pgp),
+        ('db_password          =          "Xk92mQv7LpR4"', "Xk92mQv7LpR4"),
+        ('"pwd": "x7Q!k2"', "x7Q!k2"),
+        ("see mysql://svc:9vK@r/Z2w!x@db:3306/app for it", "9vK@r/Z2w!x"),
+    ]
+
+
+@pytest.mark.parametrize("text, secret", _hidden_cases())
+def test_candidates_reach_to_the_end_of_a_secret(text, secret):
+    begin = text.index(secret)
+    assert (begin, begin + len(secret)) in S.candidates(text)
+
+
+def test_forms_that_no_example_has_are_redacted_and_clean_texts_beside_them_stay(spark, sf_dir, model):
+    clean = [
+        "the password: please ask at the desk before noon", 'their secret = "never go there alone at night" they said', "visit http://host:8080/docs/start@v2 for more",
+        "a token of thanks; auth: yes, pwd: none", "-----BEGIN PUBLIC KEY----- is a line", "they sent mail to https://example.org/about and left",
+    ]
+    cases = _hidden_cases()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([t for t, _ in cases] + clean)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in S.redact(docs, model).collect()}
+    assert [out[i] for i in range(len(cases))] == [t.replace(s, "[SECRET]") for t, s in cases]
+    assert [out[len(cases) + i] for i in range(len(clean))] == clean
+
+
+def test_every_planted_value_is_a_candidate_wherever_a_plain_scan_finds_it():
+    """Recall of candidates: each end of line, quote and blank is tried around values of many lengths."""
+    for n in range(1, 40):
+        value = "aB3$x*9#"[: n % 8 + 1] * (n // 8 + 1)
+        for name in S.SECRET_NAMES:
+            for before, after in (('="', '"'), ("  :   '", "'"), ("=", " "), ("=\n", "\n"), (': "', '"')):
+                text = f"see {name}{before}{value}{after}end"
+                begin = text.index(value, 4 + len(name) + len(before))
+                assert any(a <= begin and begin + len(value) <= b for a, b in S.candidates(text)), text
+
+
+def test_labels_of_a_table(spark):
+    rows = [("k1", None, "r", 1, "x"), ("k2", "l", None, 0, "y"), (None, "l", "r", 1, "z"), ("", "l", "r", 1, "z"), ("k3", "l", "r", 2, "z"), ("k4", "l", "r", None, "z")]
+    table = spark.createDataFrame(rows, "found string, left string, right string, label int, h string")
+    assert S.labelled_findings(table) == [("k2", "l", "", 0), ("k1", "", "r", 1)]
+    assert len(S.labelled_findings(table.union(table), 1)) == 2 and S.labelled_findings(table.limit(0)) == []
+
+
+def test_hostile_texts_take_time_in_proportion():
+    import time
+
+    for unit in ("://a:", "secret=\"", "password = 'x", "-----BEGIN PRIVATE KEY-----", "://a:b@", "secret", "eyJaaaaaaaaaa.", "token = \\\""):
+        began = time.time()
+        S.candidates(unit * (400_000 // len(unit)))
+        assert time.time() - began < 5, unit
