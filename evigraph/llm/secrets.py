@@ -213,7 +213,8 @@ def fit(spark: SparkSession, findings: list[tuple[str, str, str, int]], trees: i
     language = learn_language([f"{left} {found} {right}" if not label else f"{left} {right}" for found, left, right, label in findings])
     rows = [(features(found, left, right, language), float(label)) for found, left, right, label in findings if found]
     train = spark.createDataFrame(rows, "f array<double>, label double").coalesce(1).select(array_to_vector("f").alias("features"), "label")
-    return SecretModel(language, RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7).fit(train))
+    # the copy has no summary of its training, which would send the session along to the tasks
+    return SecretModel(language, RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7).fit(train).copy())
 
 
 def labelled_findings(table: DataFrame, most: int = 20_000) -> list[tuple[str, str, str, int]]:
