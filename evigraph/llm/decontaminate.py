@@ -137,7 +137,7 @@ def item_sets(items: DataFrame, plain: bool = False) -> DataFrame:
             tokens = [np.unique(W.windows(h[starts[i] : starts[i + 1]], np.array([0, n]), min(WIDTH, n))[0]).tobytes() if n else None for i, n in enumerate(sizes)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.minimum(sizes, WIDTH).astype(np.int32)), pa.array(tokens, pa.binary())], ["item_id", "width", "tokens"])
 
-    return items.select("item_id", "text").distinct().mapInArrow(run, f"item_id {items.schema['item_id'].dataType.simpleString()}, width int, tokens binary").where("width > 0")
+    return items.select("item_id", "text").distinct().mapInArrow(W.returning(run), f"item_id {items.schema['item_id'].dataType.simpleString()}, width int, tokens binary").where("width > 0")
 
 
 def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, plain: bool = False) -> DataFrame:
@@ -199,7 +199,7 @@ def _find_block(docs: DataFrame, sets: DataFrame, threshold: float, schema: str,
                     doc, item, common, size = zip(*hits)
                     yield pa.RecordBatch.from_arrays([chunk.column(0).take(pa.array(doc)), names.take(pa.array(item)), pa.array(common, pa.int64()), pa.array(size, pa.int64())], ["doc_id", "item_id", "n_shared", "n_shingles"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(W.returning(run), schema)
 
 
 def remove(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -43,7 +43,9 @@ MAX_FREQUENT = 1 << 20
 MAX_BROADCAST_IDS = 1 << 20
 #: Tokens that are counted together in one part, as far as MAX_PARTS parts allow; a part's token takes 4 bytes.
 PART_TOKENS, MAX_PARTS = 1 << 20, 1 << 17
-FLUSH = 1 << 21
+FLUSH = 1 << 20
+#: What is handed to a Python worker together: texts, and tokens of sets on average.
+BATCH_TEXTS, BATCH_TOKENS = 1 << 10, 1 << 19
 #: Bits of a set's parity; sets of up to about as many tokens can be told apart by them.
 BITS = 512
 #: Classes of a task that are remembered, to send copies within it once.
@@ -94,7 +96,7 @@ def tokenized(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 sets = shingle_sets(chunk.column(1), width)
                 yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parity(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "key", "n", "tokens", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n int, tokens binary, bits array<long>")
+    return docs.select("doc_id", "text").mapInArrow(W.returning(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n int, tokens binary, bits array<long>")
 
 
 def _new_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -122,7 +124,27 @@ def _names(tokens: np.ndarray, parts: int) -> np.ndarray:
     return ((m >> W.U(32)) % W.U(parts) << W.U(32)) | (m & W.U(0xFFFFFFFF))
 
 
-def frequent(sets: DataFrame, n_tokens: int) -> tuple[int, np.ndarray, np.ndarray]:
+def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
+    """(part, once, twice) of the names in ``held``, which is emptied: for each part the 32 bits of those found once, and of the others with counts."""
+    names = np.concatenate(held)
+    held.clear()
+    names.sort()
+    first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+    n = np.diff(first, append=len(names)).astype(np.uint32)
+    names = names[first]
+    del first
+    low, part = names.astype(np.uint32), (names >> W.U(32)).astype(np.int32)
+    del names
+    own = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    once, twice = [], []
+    for a, b in zip(own, np.append(own[1:], len(part))):
+        few = n[a:b] == 1
+        once.append(low[a:b][few].tobytes())
+        twice.append(np.stack([low[a:b][~few], n[a:b][~few]]).T.tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(part[own]), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["part", "once", "twice"])
+
+
+def frequent(sets: DataFrame, n_tokens: int, rows: int | None = None) -> tuple[int, np.ndarray, np.ndarray]:
     """The number of parts, and the names and counts of the tokens of most sets, by name.
 
     All tokens of all sets are counted: a task sums up what it holds and sends 4 bytes for each. Copies in different tasks count again.
@@ -132,26 +154,14 @@ def frequent(sets: DataFrame, n_tokens: int) -> tuple[int, np.ndarray, np.ndarra
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
-
-        def counted():
-            names, n = np.unique(np.concatenate(held), return_counts=True)
-            part, low = (names >> W.U(32)).astype(np.int64), names.astype(np.uint32)
-            own = np.flatnonzero(np.diff(part, prepend=-1))
-            once, twice = [], []
-            for a, b in zip(own, np.append(own[1:], len(part))):
-                few = n[a:b] == 1
-                once.append(low[a:b][few].tobytes())
-                twice.append(np.stack([low[a:b][~few], n[a:b][~few].astype(np.uint32)]).T.tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(part[own].astype(np.int32)), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["part", "once", "twice"])
-
         for _, tokens, _ in _new_classes(batches):
             held.append(_names(tokens, parts))
             size += len(tokens)
             if size >= FLUSH:
-                yield counted()
-                held, size = [], 0
+                yield _counted(held)
+                size = 0
         if held:
-            yield counted()
+            yield _counted(held)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, once, twice = None, [], []
@@ -183,9 +193,9 @@ def frequent(sets: DataFrame, n_tokens: int) -> tuple[int, np.ndarray, np.ndarra
         if at is not None:
             yield summed()
 
-    sent = sets.where("n > 0").select("key", "tokens").mapInArrow(send, "part int, once binary, twice binary")
+    sent = sets.where("n > 0").select("key", "tokens").mapInArrow(W.returning(send), "part int, once binary, twice binary")
     dealt = sent.repartition("part").sortWithinPartitions("part")
-    found = materialize(dealt.mapInArrow(add, "name long, n long"), "frequent")
+    found = materialize(dealt.mapInArrow(W.returning(add), "name long, n long"), "frequent", rows)
     # the least count that leaves MAX_FREQUENT names at most
     bins = found.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()
     total, least = 0, 1 << 17
@@ -215,7 +225,8 @@ def order_values(tokens: np.ndarray, parts: int, names: np.ndarray, counts: np.n
 
 def postings(sets: DataFrame, known: tuple[int, np.ndarray, np.ndarray]) -> DataFrame:
     """(token, key, n, at): order-1 prefixes with sizes and places, of tokens that two classes hold there, each class once in a list."""
-    shared = sets.sparkSession.sparkContext.broadcast(known)
+    # counts beyond 16 bits are all alike to the order
+    shared = sets.sparkSession.sparkContext.broadcast((*known[:2], np.minimum(known[2], (1 << 16) - 1).astype(np.uint16)))
     names = ["token", "key", "n", "at"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,8 +262,8 @@ def postings(sets: DataFrame, known: tuple[int, np.ndarray, np.ndarray]) -> Data
             waiting, sent_on = batch.slice(rows[-1], 1), like_before[-1]
 
     schema = "token long, key long, n int, at int"
-    sent = sets.where("n > 0").select("key", "tokens").mapInArrow(emit, schema).repartition("token").sortWithinPartitions("token", "key")
-    return sent.mapInArrow(lists, schema)
+    sent = sets.where("n > 0").select("key", "tokens").mapInArrow(W.returning(emit), schema).repartition("token").sortWithinPartitions("token", "key")
+    return sent.mapInArrow(W.returning(lists), schema)
 
 
 def _possible(a: str, b: str) -> str:
@@ -296,7 +307,7 @@ def _prefix(tokens: np.ndarray, seed: int) -> np.ndarray:
     return (np.partition(W.mix(tokens, seed), k - 1)[:k] >> W.U(32)).astype(np.uint32)
 
 
-def chosen_sets(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def chosen_sets(sets: DataFrame, pairs: DataFrame, rows: int | None = None) -> DataFrame:
     """(key, n, tokens, o0, o1, ...) of each class of ``pairs`` (a, b): its set, and its prefixes under the other orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +317,7 @@ def chosen_sets(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
     keys = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
     own = sets.join(small_side(keys, MAX_BROADCAST_IDS), "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    out = materialize(own.mapInArrow(run, "key long, n int, tokens binary" + "".join(f", o{i} array<int>" for i in range(len(OTHER_ORDERS)))), "chosen")
+    out = materialize(own.mapInArrow(W.returning(run), "key long, n int, tokens binary" + "".join(f", o{i} array<int>" for i in range(len(OTHER_ORDERS)))), "chosen", rows)
     drop(keys)
     return out
 
@@ -331,7 +342,7 @@ def links(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
         both = both.where(F.arrays_overlap(f"a{o}", f"b{o}"))
     for s in ("b", "a"):
         both = both.join(chosen.select(F.col("key").alias(s), F.col("tokens").alias(f"tokens_{s}")), s)
-    return both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(W.returning(run), "a long, b long")
 
 
 def components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -343,11 +354,12 @@ def components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     are not read.
     """
     spark = docs.sparkSession
-    sets = materialize(tokenized(docs, width), "sets")
-    n_tokens = sets.agg(F.sum("n")).first()[0] or 0
-    known = frequent(sets, n_tokens)
+    sets = materialize(tokenized(docs, width), "sets", BATCH_TEXTS)
+    n_tokens, n_sets = sets.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    batch = max(1, BATCH_TOKENS * n_sets // max(1, n_tokens))
+    known = frequent(sets, n_tokens, batch)
     release(spark)
-    lists = materialize(postings(sets, known), "postings")
+    lists = materialize(postings(sets, known), "postings", batch)
     release(spark)
     degrees = materialize(lists.groupBy("key").agg(F.count("*").alias("degree")), "degrees")
     n_keys = degrees.count()
@@ -357,14 +369,14 @@ def components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     compared = materialize(sets.join(small_side(degrees.select("key"), MAX_BROADCAST_IDS, n_keys), "key", "left_semi").select("key", "n", "tokens", "bits"), "compared")
     drop(sets)
     led = materialize(_led(lists.join(small_side(degrees, MAX_BROADCAST_IDS, n_keys), "key")), "pairs")
-    found, comp = _verified(compared, led, None)
+    found, comp = _verified(compared, led, None, None, batch)
     release(spark)
     if comp is not None:
         labelled = lists.join(small_side(comp, MAX_BROADCAST_IDS), F.col("key") == F.col("node"), "left").select("token", "key", "n", "at", F.coalesce("component", "key").alias("comp"))
     else:
         labelled = lists.withColumn("comp", F.col("key"))
     rest = materialize(_across(labelled, compared).join(led, ["a", "b"], "left_anti"), "pairs")
-    found, comp = _verified(compared, rest, found, comp)
+    found, comp = _verified(compared, rest, found, comp, batch)
     for table in (led, rest, degrees, lists, found, compared):
         drop(table)
     release(spark)
@@ -379,13 +391,13 @@ def components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return member.where("n_shingles > 0").join(named, "key").select("doc_id", "n_shingles", "component_id").unionByName(lone)
 
 
-def _verified(sets: DataFrame, pairs: DataFrame, found: DataFrame | None, comp: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+def _verified(sets: DataFrame, pairs: DataFrame, found: DataFrame | None, comp: DataFrame | None, rows: int) -> tuple[DataFrame | None, DataFrame | None]:
     """All links so far and their components (node, component), ``pairs`` included."""
     if pairs.isEmpty():
         return found, comp
-    chosen = chosen_sets(sets, pairs)
+    chosen = chosen_sets(sets, pairs, rows)
     release(sets.sparkSession)
-    new = materialize(links(pairs, chosen), "links")
+    new = materialize(links(pairs, chosen), "links", max(1, rows // 2))
     drop(chosen)
     release(sets.sparkSession)
     if new.isEmpty():

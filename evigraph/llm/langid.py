@@ -83,13 +83,14 @@ def fit(docs: DataFrame, max_train: int = 2400, landmarks: int = 256, ridge: flo
     if not counts:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     langs, each = sorted(counts), max(LEAST_TEXTS, max_train // len(counts))
-    shares = docs.sparkSession.createDataFrame([(k, min(1.0, each / counts[k])) for k in langs], "lang string, share double")
+    # Arrow tables become local rows of the plan; lists would start a second set of Python workers on the executors
+    shares = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array(langs, pa.string()), "share": pa.array([min(1.0, each / counts[k]) for k in langs], pa.float64())}))
     chosen = known.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "h", "text")
-    packed = lambda df: list(map(tuple, df.mapInArrow(_packed, "lang string, h long, bits binary").collect()))
+    packed = lambda df: list(map(tuple, df.mapInArrow(W.returning(_packed), "lang string, h long, bits binary").collect()))
     rows = packed(chosen)
     missed = sorted(set(langs) - {r[0] for r in rows})
     if missed:
-        left = docs.sparkSession.createDataFrame([(k,) for k in missed], "lang string")
+        left = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array(missed, pa.string())}))
         rows += packed(known.join(F.broadcast(left), "lang").groupBy("lang").agg(F.min(F.struct("h", "text")).alias("m")).select("lang", "m.h", "m.text"))
     rows.sort(key=lambda r: (r[1], r[0], bytes(r[2])))
     if not rows:
@@ -149,7 +150,7 @@ def predict(docs: DataFrame, model: LanguageModel, lang_col: str = "lang_pred",
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score.astype(float))], [*schema.fieldNames(), lang_col, score_col])
 
     out = docs.select("*", F.lit("").alias(lang_col), F.lit(0.0).alias(score_col)).schema
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(W.returning(run), out)
 
 
 def part(doc_id: Column, n: int) -> Column:

@@ -211,8 +211,10 @@ class SecretModel:
 def fit(spark: SparkSession, findings: list[tuple[str, str, str, int]], trees: int = 40, depth: int = 8) -> SecretModel:
     """A forest from labelled findings (found, left, right, label 0 or 1); they are a bounded list and must hold both labels."""
     language = learn_language([f"{left} {found} {right}" if not label else f"{left} {right}" for found, left, right, label in findings])
-    rows = [(features(found, left, right, language), float(label)) for found, left, right, label in findings if found]
-    train = spark.createDataFrame(rows, "f array<double>, label double").coalesce(1).select(array_to_vector("f").alias("features"), "label")
+    usable = [x for x in findings if x[0]]
+    # an Arrow table becomes local rows of the plan; a list would start a second set of Python workers on the executors
+    rows = pa.table({"f": pa.array([features(*x[:3], language) for x in usable], pa.list_(pa.float64())), "label": pa.array([float(x[3]) for x in usable], pa.float64())})
+    train = spark.createDataFrame(rows).coalesce(1).select(array_to_vector("f").alias("features"), "label")
     # the copy has no summary of its training, which would send the session along to the tasks
     return SecretModel(language, RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7).fit(train).copy())
 
@@ -260,7 +262,7 @@ def scan(docs: DataFrame, model: SecretModel, threshold: float = 0.5) -> DataFra
                     yield pa.RecordBatch.from_arrays([chunk.column(0).take(at), chunk.column(1).take(at), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(found, pa.string()), pa.array(f, pa.list_(pa.float64()))], ["doc_id", "row_hash", "begin", "end", "found", "f"])
 
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_hash"), "text")
-    found = keyed.mapInArrow(run, f"doc_id {id_type}, row_hash long, begin long, end long, found string, f array<double>")
+    found = keyed.mapInArrow(W.returning(run), f"doc_id {id_type}, row_hash long, begin long, end long, found string, f array<double>")
     scored = model.forest.transform(found.withColumn("features", array_to_vector("f")))
     return scored.select("doc_id", "begin", "end", "found", vector_to_array("probability")[1].alias("score"), "row_hash").where(F.col("score") >= threshold)
 

@@ -1,10 +1,13 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import DataFrameWriter
 
 from evigraph.llm import jaccard as J
+from evigraph.plans.scratch import BATCH_KEY, batch_rows
 
 
 def shingles(text):
@@ -173,3 +176,40 @@ def test_parity_never_drops_a_link():
             a, b = np.unique(base[rng.random(size) < 0.9]), np.unique(base[rng.random(size) < 0.9])
             differ = sum(int(x).bit_count() for x in (J.parity(a) ^ J.parity(b)).view(np.uint64))
             assert differ <= len(np.setxor1d(a, b))
+
+
+def test_batches_for_python_follow_the_size_of_the_sets(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i // 2}x{j}" for j in range(54 + i % 2))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(J, "BATCH_TOKENS", 500)
+    most, was, write = {}, spark.conf.get(BATCH_KEY), DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: most.update({path.split("/")[-1].split("-")[0]: int(spark.conf.get(BATCH_KEY))}) or write(self, path))
+    assert got(J.components(docs)) == brute(rows)
+    assert most["sets"] == J.BATCH_TEXTS and most["frequent"] == most["postings"] == most["chosen"] == 9 and most["links"] == 4
+    assert most["degrees"] == most["components"] == int(was) and spark.conf.get(BATCH_KEY) == was
+
+
+def test_a_session_with_smaller_batches_keeps_them(spark):
+    was = spark.conf.get(BATCH_KEY)
+    try:
+        spark.conf.set(BATCH_KEY, 7)
+        for most, expected in ((9, "7"), (7, "7"), (3, "3"), (None, "7")):
+            with batch_rows(spark, most):
+                assert spark.conf.get(BATCH_KEY) == expected
+        spark.conf.set(BATCH_KEY, 0)  # no limit
+        with batch_rows(spark, 9):
+            assert spark.conf.get(BATCH_KEY) == "9"
+        assert spark.conf.get(BATCH_KEY) == "0"
+    finally:
+        spark.conf.set(BATCH_KEY, was)
+
+
+def test_counting_holds_few_copies_of_the_tokens():
+    names = J._names(np.arange(1 << 18, dtype=np.uint64), 10)
+    held = [names[: 1 << 17].copy(), names[1 << 17 :].copy(), names[:5].copy()]
+    tracemalloc.start()
+    counted = J._counted(held)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held == [] and peak < 4.5 * names.nbytes
+    assert sum(len(b) for b in counted.column("once").to_pylist()) == 4 * (len(names) - 5) and sum(len(b) for b in counted.column("twice").to_pylist()) == 8 * 5

@@ -1,6 +1,9 @@
 import re
 
+from pyspark.sql import SparkSession
+
 import corpus_pipeline as P
+from evigraph.llm import langid, secrets
 from tests.llm.test_decontaminate import brute as leaks
 from tests.llm.test_jaccard import brute as groups
 from tests.llm.test_mixing import brute as mix
@@ -61,3 +64,14 @@ def test_near_copies_go_row_by_row(spark, sf_dir):
     null = [t for d, t in got if d is None]
     assert len(null) == 2 and text(2) in null and {text(1), text(1) + " end"} & set(null)
     assert [r for r in got if r[0] is not None] == [(5, text(0)), (7, text(3)), (9, text(4)), (9, text(5))]
+
+
+def test_models_are_fitted_without_python_rdds(spark, monkeypatch):
+    """A list becomes a Python RDD, whose workers stay on the executors beside those of the stages."""
+    made, create = [], SparkSession.createDataFrame
+    docs = spark.createDataFrame([(i, f"text {i} of some words", "en" if i % 3 else "de") for i in range(60)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(SparkSession, "createDataFrame", lambda self, *a, **b: made.append(df := create(self, *a, **b)) or df)
+    langid.fit(docs, max_train=20, landmarks=8)
+    secrets.fit(spark, secrets.example_findings([], 200), trees=3)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in made]
+    assert len(plans) >= 2 and all("LocalTableScan" in p for p in plans)

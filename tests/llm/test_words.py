@@ -37,3 +37,16 @@ def test_chunks_keep_all_rows():
     parts = list(W.chunks(batch, most=10))
     assert [k for p in parts for k in p.column(1).to_pylist()] == list(range(7))
     assert [p.num_rows for p in parts] == [2, 1, 4]
+
+
+def test_a_task_gives_free_memory_back_when_it_ends(monkeypatch):
+    said = []
+
+    class Pool:
+        def release_unused(self):
+            said.append("released")
+
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    for x in W.returning(lambda batches: (2 * b for b in batches))(iter([1, 2])):
+        said.append(x)
+    assert said == [2, 4, "released"]
