@@ -1,9 +1,11 @@
 """A ledger of jobs over a stream of item events: which items a job has, how far each is, and whether the job still moves.
 
-The state of a job is a map from item to the furthest step that it has reached, and the counts that follow from it. An event that comes
-again, or later than one of a further step, changes nothing, so batches may be repeated, late or out of order. A job from which nothing
-came for a time (``STALE_MS``, between arrivals at the stream) and which is not done is interrupted; the next event sets it going again.
-What is done or cancelled stays so.
+Each event stands for all levels up to its step, and the first row of each (job, item, level) is kept by a deduplication whose state the
+JVM holds in RocksDB: of the items that a job has, how many got to a level, is then the number of that level's rows. Their sums by job go
+to ``transformWithState``, so Python and its calls to the state see jobs, not items, and a job may have any number of items. An event
+that comes again, or later than one of a further step, changes nothing, so batches may be repeated, late or out of order. A job from
+which nothing came for a time (``STALE_MS``, between arrivals at the stream) and which is not done is interrupted; the next event sets it
+going again. What is done or cancelled stays so.
 """
 
 from __future__ import annotations
@@ -11,10 +13,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from evigraph.plans.scratch import drop, materialize
 from evigraph.sources.tables import Table
 
 #: Steps of an item in turn. ``skipped`` (unusable) is as far as ``completed``.
@@ -22,6 +26,8 @@ STEPS = {"registered": 0, "embedded": 1, "completed": 2, "skipped": 2}
 CANCEL = "cancel"
 STALE_MS = 15 * 60 * 1000
 LEDGER = "job string, total long, processed long, completed long, state string"
+#: Rows of a task that are held before they are summed by job.
+HELD = 1 << 20
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -37,7 +43,6 @@ class Jobs(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.items = handle.getMapState("items", "item string", "step int")
         self.sums = handle.getValueState("sums", "total long, processed long, completed long, cancelled boolean, stale boolean, due long")
 
     def _row(self, key, sums) -> pd.DataFrame:
@@ -46,21 +51,12 @@ class Jobs(StatefulProcessor):
         return pd.DataFrame({"job": [key[0]], "total": [total], "processed": [processed], "completed": [completed], "state": [state]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        total, processed, completed, cancelled, _, due = self.sums.get() if self.sums.exists() else (0, 0, 0, False, False, 0)
+        total, processed, completed, cancelled, _, due = self.sums.get() or (0, 0, 0, False, False, 0)
         last = 0
         for part in rows:
             last = max(last, int(part["arrived"].max().timestamp() * 1000))
-            cancelled = cancelled or bool((part["step"] == CANCEL).any())
-            part = part[part["step"].isin(list(STEPS)) & part["item"].notna()]
-            # of a batch only the furthest step of an item is looked up
-            for item, step in part["step"].map(STEPS).groupby(part["item"]).max().items():
-                step = int(step)
-                old = self.items.getValue((item,))[0] if self.items.containsKey((item,)) else -1
-                if step > old:
-                    self.items.updateValue((item,), (step,))
-                    total += old < 0
-                    processed += old < 1 <= step
-                    completed += old < 2 <= step
+            cancelled = cancelled or bool(part["cancelled"].any())
+            total, processed, completed = (old + int(part[c].sum()) for old, c in ((total, "total"), (processed, "processed"), (completed, "completed")))
         if due:
             self.handle.deleteTimer(due)
         due = last + self.stale_ms
@@ -79,6 +75,33 @@ class Jobs(StatefulProcessor):
         pass
 
 
+def first_levels(events: DataFrame) -> DataFrame:
+    """(job, item, level) of ``events`` (job, item, step), each once over the whole stream: 0 is registered, 1 processed, 2 completed."""
+    rank = F.element_at(F.create_map(*[F.lit(x) for kv in STEPS.items() for x in kv]), F.col("step"))
+    own = events.where(F.col("step").isin(*STEPS) & F.col("item").isNotNull())
+    levels = own.select("job", "item", F.explode(F.sequence(F.lit(0), rank)).alias("level"), "arrived")
+    return levels.dropDuplicates(["job", "item", "level"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        own = pa.Table.from_batches(held)
+        kinds = {c: "max" if c in ("cancelled", "arrived") else "sum" for c in own.column_names if c != "job"}
+        out = own.group_by("job").aggregate(list(kinds.items())).select(["job", *[f"{c}_{k}" for c, k in kinds.items()]])
+        held.clear()
+        return iter(out.rename_columns(own.column_names).cast(own.schema).combine_chunks().to_batches(10_000))
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= HELD:
+            yield from done()
+    if held:
+        yield from done()
+
+
 def ledger(events: DataFrame, stale_ms: int = STALE_MS) -> DataFrame:
     """(job, total, processed, completed, state), a row for each job that a batch or a timer changes; ``events`` has job, item, step.
 
@@ -87,7 +110,13 @@ def ledger(events: DataFrame, stale_ms: int = STALE_MS) -> DataFrame:
     """
     # event time is the time of arrival, so that no event is ever late, and timers wait for what arrives after them
     own = events.select(F.coalesce("job", F.lit("")).alias("job"), "item", "step", F.current_timestamp().alias("arrived")).withWatermark("arrived", "0 seconds")
-    return own.groupBy("job").transformWithStateInPandas(statefulProcessor=Jobs(stale_ms), outputStructType=LEDGER, outputMode="Update", timeMode="EventTime")
+    none, at = F.lit(0).cast("long"), lambda k: (F.col("level") == k).cast("long")
+    counted = first_levels(own).select("job", at(0).alias("total"), at(1).alias("processed"), at(2).alias("completed"), F.lit(False).alias("cancelled"), "arrived")
+    # every event is a sign of life, those that change nothing too
+    seen = own.select("job", none.alias("total"), none.alias("processed"), none.alias("completed"), (F.coalesce("step", F.lit("")) == CANCEL).alias("cancelled"), "arrived")
+    rows = counted.unionByName(seen)
+    sums = rows.mapInArrow(_summed, rows.schema)
+    return sums.groupBy("job").transformWithStateInPandas(statefulProcessor=Jobs(stale_ms), outputStructType=LEDGER, outputMode="Update", timeMode="EventTime")
 
 
 def keep(events: DataFrame, table: Table, checkpoint: str, stale_ms: int = STALE_MS) -> StreamingQuery:
@@ -96,6 +125,9 @@ def keep(events: DataFrame, table: Table, checkpoint: str, stale_ms: int = STALE
     def step(rows: DataFrame, number: int) -> None:
         # should a timer and events change a job in one batch, the events count
         last = F.max(F.struct((F.col("state") != "INTERRUPTED").alias("moves"), "completed", "processed", "total", "state")).alias("m")
-        table.upsert(rows.groupBy("job").agg(last).select("job", "m.total", "m.processed", "m.completed", "m.state"), f"batch-{number}")
+        # the table reads its rows more than once, and each time the stream's batch would be run anew
+        own = materialize(rows.groupBy("job").agg(last).select("job", "m.total", "m.processed", "m.completed", "m.state"), "ledger")
+        table.upsert(own, f"batch-{number}")
+        drop(own)
 
     return ledger(events, stale_ms).writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -57,3 +57,33 @@ def test_done_cancelled_and_stale_jobs(rocks, tmp_path):
     # an interrupted job goes on where it was
     got = run(rocks, tmp_path, [[("slow", "b", "completed"), ("slow", "a", "embedded")]])
     assert got["slow"] == (2, 2, 1, "EMBEDDING")
+
+
+class Calls:
+    """A state handle that counts what is asked of it."""
+
+    def __init__(self):
+        self.n, self.value = 0, None
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.n += 1
+            self.value = args[0] if name == "update" else self.value
+            return self if name == "getValueState" else self.value
+
+        return call
+
+
+def test_calls_to_the_state_do_not_grow_with_a_jobs_items(spark):
+    items = spark.range(3000).selectExpr("'j' AS job", "cast(id AS string) AS item", "element_at(array('registered', 'embedded', 'completed'), cast(id % 3 + 1 AS int)) AS step", "timestamp'2024-01-01' AS arrived")
+    levels = L.first_levels(items.unionByName(items)).selectExpr("level", "1 AS n").groupBy("level").sum("n").collect()
+    assert {r[0]: r[1] for r in levels} == {0: 3000, 1: 2000, 2: 1000}
+    rows = items.selectExpr("job", "1L AS total", "cast(step <> 'registered' AS long) AS processed", "cast(step = 'completed' AS long) AS completed", "false AS cancelled", "arrived")
+    summed = rows.coalesce(1).mapInArrow(L._summed, rows.schema).toPandas()
+    assert len(summed) == 1
+    handle, jobs = Calls(), L.Jobs(1000)
+    jobs.init(handle)
+    for k in (1, 2):
+        out = list(jobs.handleInputRows(("j",), iter([summed]), None))
+        assert out[0].iloc[0].tolist() == ["j", 3000 * k, 2000 * k, 1000 * k, "EMBEDDING"]
+    assert handle.n < 12
