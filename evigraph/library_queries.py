@@ -291,16 +291,13 @@ gate AS (SELECT a, b, distance, 'phash_and_base' AS source, base AS sim FROM hb
 
 
 def _turned(s, d):
-    return C.aligned_cosine(C.hamming_pairs(V.fingerprints(s, d), HAMMING), V.rotated_vectors(s, d), 0.1)
+    return C.near_and_turned(V.fingerprints(s, d), V.rotated_vectors(s, d), HAMMING, 0.1)
 
 
 @sql(f"{FP}, {_STORED}, {_BASED}, n AS (SELECT a AS id, angle_a AS angle FROM hb WHERE base < 0.1 AND angle_a <> angle_b UNION SELECT b, angle_b FROM hb WHERE base < 0.1 AND angle_a <> angle_b) SELECT id, angle FROM n WHERE (id, angle) NOT IN (SELECT (id, angle) FROM rv)")
 def missing_rotations(s, d):
     """Turned vectors that the model still has to make for the hits that need them."""
-    stored = V.rotated_vectors(s, d)
-    plain = lambda c: stored.where("angle = 0").select(F.col("id").alias(c), F.col("vector").alias(f"v{c}"))
-    hits = C.hamming_pairs(V.fingerprints(s, d), HAMMING).join(plain("a"), "a").join(plain("b"), "b")
-    return C.missing_rotations(hits.where(C.cosine(F.col("va"), F.col("vb")) < 0.1), stored)
+    return C.near_and_missing(V.fingerprints(s, d), V.rotated_vectors(s, d), HAMMING, 0.1)
 
 
 @sql(f"{FP}, {_ROTATED} SELECT a, b, distance, source, {_SIX.format('sim')} AS sim FROM gate")
@@ -318,7 +315,10 @@ def candidate_sources_rotated(s, d):
     both = _turned(s, d)
     own = V.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.sha2(F.encode(F.col("label").cast("string"), "UTF-8"), 256).alias("sha256"))
     same = C.duplicate_classes(own).where("id <> representative").select(F.col("representative").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"))
-    out = C.union_sources(("topk", 0, top), *[(n, p, both.where(F.col("source") == n)) for n, p in (("phash_and_base", 1), ("phash_and_rotated", 2))], ("sha256_exact", 3, same))
+    # one pass over the hits for both of their sources
+    leg = lambda rows, source, priority: rows.select("a", "b", "sim", source.alias("source"), priority.alias("priority"))
+    hits = leg(both, F.col("source"), F.when(F.col("source") == "phash_and_base", 1).otherwise(2))
+    out = C.united(leg(top, F.lit("topk"), F.lit(0)).unionByName(hits).unionByName(leg(same, F.lit("sha256_exact"), F.lit(3))))
     return out.select("a", "b", F.array_join("sources", ",").alias("sources"), (F.floor(F.col("sim") * 1e6 + 0.5) / 1e6).alias("sim"))
 
 

@@ -5,6 +5,7 @@ import pytest
 
 from evigraph.operators import blocks as B
 from evigraph.operators import candidates as C
+from evigraph.operators import prints as P
 
 PRINTS = "vec_id long, angle int, hi long, lo long"
 
@@ -111,3 +112,68 @@ def test_turned_vectors_are_stored_rows(spark):
     assert got == {("a", "b"): "phash_and_rotated", ("b", "d"): "phash_and_base"}
     unlike = hits.where("NOT (a = 'b')")
     assert {tuple(r) for r in C.missing_rotations(unlike, vectors).collect()} == {("d", 180)}
+
+
+def test_blocks_are_sent_once_for_each_strip(spark, monkeypatch):
+    """A block that meets many goes to the tasks of the strips that it meets, not to one row for each pair."""
+    sent = []
+    monkeypatch.setattr(B, "STRIPS", 2)
+    kind = type(spark.range(0))
+    plain = kind.repartitionById
+    monkeypatch.setattr(kind, "repartitionById", lambda self, n, c: sent.append((self, n)) or plain(self, n, c))
+    rng = np.random.default_rng(3)
+    values = spark.createDataFrame([(int(v),) for v in rng.integers(-(2**63), 2**63, 300)], "bits long")
+    got = B.near_values(values, 18, per=10).count()
+    bits = np.array([r.bits for r in values.collect()]).astype(np.uint64)
+    assert got == (np.triu(np.bitwise_count(bits[:, None] ^ bits[None]), 1) + 65 * np.tri(300, dtype=int) <= 18).sum()
+    blocks = sent[0][0].select("block").distinct().count()
+    assert blocks > 25 and sent[0][1] <= 6 and sent[0][0].count() <= 4 * blocks
+
+
+def turned(rng, n, angles=(0, 90, 180, 270), like=0.3):
+    """Prints whose turns are shifts, and vectors whose signs they are; some near copies."""
+    v = rng.normal(size=(n, 64))
+    v[n // 2 :] = v[: n - n // 2] + rng.normal(size=(n - n // 2, 64)) * like
+    shifted = {a: np.roll(v, -(a // 90) * 16, axis=1) for a in (0, 90, 180, 270)}
+    bits = {a: np.packbits(x > 0, axis=1).view(">u8").ravel() for a, x in shifted.items()}
+    rows = [(i, a, int(bits[a][i]) >> 32, int(bits[a][i]) & 0xFFFFFFFF) for i in range(n) for a in angles]
+    vectors = [(i, a, shifted[a][i].tolist()) for i in range(n) for a in angles if a == 0 or i % 3]
+    return rows, vectors
+
+
+@pytest.mark.parametrize("angles", [(0, 90, 180, 270), (0, 90), (270, 180)])
+def test_items_are_judged_where_they_are_found(spark, angles):
+    """All three kinds of judging against hits that are joined with their vectors afterwards; some items have other turns than the rest."""
+    rng = np.random.default_rng(len(angles))
+    rows, vectors = turned(rng, 400, angles)
+    rows = [(i, a, hi ^ (1 << 7) if a == 90 and i % 50 == 0 else hi, lo) for i, a, hi, lo in rows if (i, a) != (4, 90)]
+    df, v = spark.createDataFrame(rows, PRINTS), spark.createDataFrame(vectors, "id long, angle int, vector array<double>")
+    hits = C.hamming_pairs(df, 18, per=90).cache()
+    assert {tuple(r) for r in hits.collect()} == plain_pairs(rows, 18)
+    rounded = lambda out: {(*r[:-1], round(r[-1], 9)) for r in out.collect()}
+    assert rounded(C.near_and_turned(df, v, 18, 0.2, per=90)) == rounded(C.aligned_cosine(hits, v, 0.2))
+    side = lambda s: v.where("angle = 0").selectExpr(f"id AS {s}", f"vector AS v{s}")
+    judged = hits.join(side("a"), "a").join(side("b"), "b").withColumn("sim", C.cosine(C.F.col("va"), C.F.col("vb")))
+    assert rounded(C.near_and_alike(df, v, 18, 0.2, per=90)) == rounded(judged.where("sim >= 0.2").select("a", "b", "distance", "sim"))
+    missing = {tuple(r) for r in C.missing_rotations(judged.where("sim < 0.2"), v).collect()}
+    assert {tuple(r) for r in C.near_and_missing(df, v, 18, 0.2, per=90).collect()} == missing and (missing or 0 not in angles)
+
+
+def test_turns_that_move_bits_are_compared_once(spark):
+    rows, _ = turned(np.random.default_rng(2), 200)
+    items = P.grouped(spark.createDataFrame(rows, PRINTS).selectExpr("vec_id AS key", "angle", "shiftleft(hi, 32) | lo AS bits"))
+    made = P.packed_items(items, P.Prints(), None, None).first()
+    values = P.Prints().matrix(made.data)
+    assert P.combinations(P.turns(values), P.turns(values)) == [(0, z) for z in range(4)]
+    other = values.copy()
+    other["bits"][3, 2] ^= np.uint64(1)
+    assert len(P.combinations(P.turns(values), P.turns(other))) == 16
+
+
+def test_items_of_many_prints_and_other_keys(spark):
+    rng = np.random.default_rng(9)
+    values = clustered_bits(rng, 6, 5, 10)
+    many = [(i % 3, 90 * (i % 4), v >> 32, v & 0xFFFFFFFF) for i, v in enumerate(values)]
+    assert {tuple(r) for r in C.hamming_pairs(spark.createDataFrame(many, PRINTS), 18).collect()} == plain_pairs(many, 18)
+    named = spark.createDataFrame([(f"k{k}", *r) for k, *r in many], PRINTS.replace("vec_id long", "vec_id string"))
+    assert {tuple(r) for r in C.hamming_pairs(named, 18).collect()} == {(f"k{a}", f"k{b}", *m) for a, b, *m in plain_pairs(many, 18)}
